@@ -11,7 +11,7 @@ is above. That level is found by whole-table aggregates, one row each.
 
 Nothing is gathered by source: one range sort by (source, size, id) gives global row numbers from partition
 sizes, and a row's rank in its source is its number less that of the source's first row; so a source with a
-third of all rows is spread over tasks like any other. Only ids and sizes are shuffled, no text.
+third of all rows is spread over tasks like any other. Only ids and sizes are shuffled, no text (take_mix sends whole rows through the sort).
 
 Nulls: a null text has size 0; a null source is a source, last in order; a null id comes first in order. Ties
 and repeated rows: each row counts, in any order among equals. Documents of size 0 take 0 words; a source of
@@ -69,9 +69,8 @@ def _offset() -> Column:
     return (h + 0.5) / F.lit(4294967296.0)
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of df: id, size, source_size, target, copies, taken."""
-    sizes = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def _copies(sizes: DataFrame) -> DataFrame:
+    """sizes (id, source, size and more) with source_size, target and copies."""
     rows = _numbered(sizes, "sizes", F.col("source").asc_nulls_last(), F.col("size"), F.col("id"))
     sources = materialize(source_targets(rows), "targets")
     first = rows.groupBy("source").agg(F.min("g").alias("first"))
@@ -80,14 +79,24 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = F.col("g") - F.col("first")
     copies = F.least(F.floor(_offset() + (rank + 1) * each) - F.floor(_offset() + rank * each), F.lit(MOST)).cast("long")
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return joined.withColumn("copies", copies)
+
+
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of df: id, size, source_size, target, copies, taken."""
+    sizes = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size"))
+    return _copies(sizes).select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def take_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of df, each as often as the mix takes it. Ids must be unique and not null for this."""
-    chosen = mix_sources(df, id_col, text_col, source_col).filter("copies > 0").select(F.col(id_col).alias("_id"), "copies")
-    out = df.join(chosen, df[id_col] == chosen["_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*(df[c] for c in df.columns))
+    """The rows of df, each as often as the mix takes it. Whole rows go through the sort, so ids may repeat or be null."""
+    sizes = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size"), F.struct(*(df[c] for c in df.columns)).alias("row"))
+    chosen = _copies(sizes).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return chosen.select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

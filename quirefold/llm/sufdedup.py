@@ -5,23 +5,23 @@ its least `k`-gram by hash (its minimiser, the leftmost of equals), so equal win
 Consecutive windows with the same minimiser at the same place form a run, a string of at most 2 * length - k
 bytes in which no window repeats. Then
 
-1. runs are counted by minimiser and string, with map-side combine. A run whose string occurs twice is repeated as a whole. A run whose minimiser occurs in no other string is
-   not repeated at all. Both need no text.
+1. runs are counted by minimiser and string, with map-side combine. A run whose string occurs twice is repeated
+   as a whole. A run whose minimiser occurs in no other run is not repeated at all. Both need no text.
 2. The other runs, those of texts that agree only in part, are fetched from the texts, one copy of each string,
    and put by minimiser into blocks of bounded size. A block's strings are joined by separators and sorted into
    a suffix array to the depth `length`; from its Burrows-Wheeler transform, intervals are extended to the left
    breadth first. The step in which a boundary between neighbours in the suffix order is first met is their
    common prefix, so common prefixes come out by increasing value; the expansion stops at `length`, and
    neighbours without a boundary by then share a window.
-3. A minimiser with too many different strings for one block is split: its windows either have the bytes to the
-   left of the minimiser up to half the rest of the window or those to the right, and each kind is keyed by the
-   hash of those bytes; this is repeated until the groups fit or the key holds the whole window, when counting
-   decides. So no group is ever gathered beyond a bound, and nothing is dropped.
+3. A minimiser with too many different strings for one block is split: the places that it can have in a window are
+   halved, the windows of either half have more bytes than the minimiser in common, and the hash of those is their
+   key; this is repeated until the groups fit or the key holds the whole window, when counting decides. So no group is ever gathered beyond a bound, and nothing is dropped.
 
 Where strings are counted they are compared by 64-bit hashes of the minimiser and of the string, and byte by
 byte (suffix order) in blocks.
 
-Nulls: a null text is empty; ids must be unique and not null where spans are joined to texts. Texts shorter
+Nulls: a null text is empty; a row with a null id takes no part: it keeps its text and is no other's copy. Ids are
+unique but for repeated rows. Texts shorter
 than `length`, empty texts and empty tables have no spans. Repeated rows are repeats of each other and lose all
 their windows. Further columns are ignored by repeated_spans and kept by drop_repeats.
 """
@@ -338,7 +338,7 @@ def _hot(strings: DataFrame, hot: DataFrame, length: int, k: int, most: int) ->
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM, group_strings: int = GROUP_STRINGS) -> DataFrame:
     """(id, spans: array of (a, b)): for each text with repeats, the byte ranges that repeated windows cover, in order and merged."""
     ship(df.sparkSession)
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    texts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     id_type = texts.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("start", T.LongType()), T.StructField("windows", T.ShortType()), T.StructField("at", T.ShortType()), T.StructField("h", T.LongType()), T.StructField("s", T.LongType())])
     all_runs = texts.filter(F.length("text") >= length).mapInArrow(_minimizers(length, k), schema)
