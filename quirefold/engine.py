@@ -107,7 +107,7 @@ class Archives:
         terms = search.query_terms(self.spark, [(0, query)], word_chars="", prefix=not whole_words)
         key = F.struct("archive_id", "url")
         # positions of body and title are kept apart, as both count from 0
-        tok = fts.select(key.alias("doc_id"), (F.explode("positions").cast("long") + F.col("context").cast("long") * (1 << 32)).alias("pos"), "word")
+        tok = fts.select(key.alias("doc_id"), F.explode(F.transform("positions", lambda p: p.cast("long") + F.col("context").cast("long") * (1 << 32))).alias("pos"), "word")
         found = search.rank(search.match(tok, terms), limit)
         names = fts.groupBy(key.alias("doc_id")).agg(F.max("title").alias("topic"))
         return found.join(names, "doc_id").select("doc_id.archive_id", "doc_id.url", "topic", "score", "rank")

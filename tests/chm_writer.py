@@ -1,0 +1,285 @@
+"""A writer of small help archives for tests: stored objects, LZX blocks of all types, metadata, word index."""
+
+import struct
+
+
+def encint(n):
+    out = [n & 0x7F]
+    n >>= 7
+    while n:
+        out.append(n & 0x7F | 0x80)
+        n >>= 7
+    return bytes(reversed(out))
+
+
+class WordBits:
+    """16-bit little-endian words, most significant bit first."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [value >> (n - 1 - i) & 1 for i in range(n)]
+
+    def align(self):
+        # a full word of padding if already aligned, as the format has it before stored bytes
+        self.bits += [0] * (16 - len(self.bits) % 16)
+
+    def raw(self, data):
+        assert len(self.bits) % 16 == 0
+        for i in range(0, len(data), 2):
+            pair = data[i : i + 2].ljust(2, b"\0")
+            self.put(pair[0] | pair[1] << 8, 16)
+
+    def bytes(self):
+        b = self.bits + [0] * (-len(self.bits) % 16)
+        out = bytearray()
+        for i in range(0, len(b), 16):
+            w = int("".join(map(str, b[i : i + 16])), 2)
+            out += struct.pack("<H", w)
+        return bytes(out)
+
+
+def codes_of(lengths):
+    """Canonical codes: by length, then symbol."""
+    out, code, last = {}, 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        last = n
+        out[s] = (code, n)
+        code += 1
+    return out
+
+
+EXTRA = [0, 0, 0, 0]
+while len(EXTRA) < 51:
+    EXTRA.append(min(17, (len(EXTRA) - 2) // 2))
+BASE = [0]
+for _x in EXTRA[:50]:
+    BASE.append(BASE[-1] + (1 << _x))
+MAIN = 256 + 8 * 30
+LENGTHS_MAIN = [8] * 16 + [9] * (MAIN - 16)
+LENGTHS_LEN = [7] * 7 + [8] * 242
+ALIGNED = [3] * 8
+
+
+class Encoder:
+    """Blocks of 32 KiB in a window of the same size; keeps the state that runs over blocks."""
+
+    def __init__(self, e8_size=0):
+        self.recent, self.done, self.first, self.e8 = [1, 1, 1], b"", True, e8_size
+        self.main, self.length = [0] * MAIN, [0] * 249
+
+    def _lens(self, w, have, want):
+        deltas = [(h - x) % 17 for h, x in zip(have, want)]
+        used = sorted(set(deltas))
+        used += [s for s in range(17) if s not in used][: max(0, 2 - len(used))]
+        n = max(1, (len(used) - 1).bit_length())
+        short = (1 << n) - len(used)
+        pre = [0] * 20
+        for i, s in enumerate(used):
+            pre[s] = n - 1 if i < short else n
+        for x in pre:
+            w.put(x, 4)
+        c = codes_of(pre)
+        for d in deltas:
+            w.put(*c[d])
+
+    def block(self, data, kind):
+        w = WordBits()
+        if self.first:
+            w.put(1 if self.e8 else 0, 1)
+            if self.e8:
+                w.put(self.e8 >> 16, 16)
+                w.put(self.e8 & 0xFFFF, 16)
+            self.first = False
+        w.put(kind, 3)
+        w.put(len(data) >> 8, 16)
+        w.put(len(data) & 255, 8)
+        if kind == 3:
+            w.align()
+            w.raw(struct.pack("<III", *self.recent))
+            w.raw(data)
+        else:
+            if kind == 2:
+                for x in ALIGNED:
+                    w.put(x, 3)
+            self._lens(w, self.main[:256], LENGTHS_MAIN[:256])
+            self._lens(w, self.main[256:], LENGTHS_MAIN[256:])
+            self._lens(w, self.length, LENGTHS_LEN)
+            self.main, self.length = list(LENGTHS_MAIN), list(LENGTHS_LEN)
+            self._body(w, data, kind)
+        self.done += data
+        return w.bytes()
+
+    def _body(self, w, data, kind):
+        main, length, aligned = codes_of(LENGTHS_MAIN), codes_of(LENGTHS_LEN), codes_of(ALIGNED)
+        all_, start, i = self.done + data, len(self.done), 0
+        while i < len(data):
+            at = start + i
+            best, where = 0, 0
+            for back in self.recent + list(range(1, min(at, 400) + 1)):
+                if back > at:
+                    continue
+                n = 0
+                while n < 257 and i + n < len(data) and all_[at - back + n] == all_[at + n]:
+                    n += 1
+                if n > best:
+                    best, where = n, back
+            if best < 3:
+                w.put(*main[data[i]])
+                i += 1
+                continue
+            if where in self.recent:
+                slot = self.recent.index(where)
+                self.recent[0], self.recent[slot] = self.recent[slot], self.recent[0]
+            else:
+                v = where + 2
+                slot = max(s for s in range(3, 30) if BASE[s] <= v)
+                self.recent = [where, *self.recent[:2]]
+            head = min(best - 2, 7)
+            w.put(*main[256 + (slot << 3 | head)])
+            if head == 7:
+                w.put(*length[best - 9])
+            if slot >= 3:
+                low, extra = where + 2 - BASE[slot], EXTRA[slot]
+                if kind == 2 and extra >= 3:
+                    w.put(low >> 3, extra - 3)
+                    w.put(*aligned[low & 7])
+                else:
+                    w.put(low, extra)
+            i += best
+
+
+def lzx_section(data, kinds, interval=2, e8_size=0):
+    """(compressed, reset table, control data) of data cut into blocks of 0x8000."""
+    size = 0x8000
+    blocks, offsets, at, enc = [], [], 0, None
+    for n, i in enumerate(range(0, len(data), size)):
+        if n % interval == 0:
+            enc = Encoder(e8_size)
+        offsets.append(at)
+        b = enc.block(data[i : i + size].ljust(size, b"\0"), kinds[n % len(kinds)])
+        blocks.append(b)
+        at += len(b)
+    comp = b"".join(blocks)
+    table = struct.pack("<IIIIQQQ", 2, len(offsets), 8, 0x28, len(data), len(comp), size) + b"".join(struct.pack("<Q", o) for o in offsets)
+    # interval / (window / 2) * windows per reset: window 0x8000, so interval 0x4000 units of half a window
+    control = struct.pack("<I4sIIIII", 6, b"LZXC", 1, 0x4000 * interval, 0x8000, 1, 0)
+    return comp, table, control
+
+
+def system(records):
+    return struct.pack("<I", 3) + b"".join(struct.pack("<HH", k, len(v)) + v for k, v in records)
+
+
+def write_chm(path, stored, compressed=(), kinds=(3,), version=3, lang=0x409, page_size=0x1000, e8_size=0, interval=2):
+    """stored: (path, bytes) of section 0; compressed: those of section 1."""
+    entries, data = [], b""
+    for name, body in stored:
+        entries.append((name, 0, len(data), len(body)))
+        data += body
+    if compressed:
+        stream = b""
+        for name, body in compressed:
+            entries.append((name, 1, len(stream), len(body)))
+            stream += body
+        comp, table, control = lzx_section(stream, kinds, interval, e8_size)
+        base = "::DataSpace/Storage/MSCompressed/"
+        for name, body in (("ControlData", control), ("Content", comp), ("Transform/{7FC28940-9D31-11D0-9B27-00A0C91E9C7C}/InstanceData/ResetTable", table)):
+            entries.append((base + name, 0, len(data), len(body)))
+            data += body
+    pages, now = [], b""
+    for name, space, start, n in entries:
+        raw = name.encode()
+        e = encint(len(raw)) + raw + encint(space) + encint(start) + encint(n)
+        if len(now) + len(e) > page_size - 0x14:
+            pages.append(now)
+            now = b""
+        now += e
+    pages.append(now)
+    out = b""
+    for i, p in enumerate(pages):
+        nxt = i + 1 if i + 1 < len(pages) else -1
+        out += struct.pack("<4siiii", b"PMGL", page_size - 0x14 - len(p), 0, i - 1, nxt) + p.ljust(page_size - 0x14, b"\0")
+    itsp = struct.pack("<4siiiiiiiiiiii", b"ITSP", 1, 0x54, 10, page_size, 2, 1, -1, 0, len(pages) - 1, -1, len(pages), lang).ljust(0x54, b"\0")
+    directory = itsp + out
+    head_len = 0x60 if version >= 3 else 0x58
+    head = struct.pack("<4siiiiI", b"ITSF", version, head_len, 1, 0, lang).ljust(0x48, b"\0")
+    dir_at = head_len
+    head += struct.pack("<QQ", dir_at, len(directory))
+    if version >= 3:
+        head += struct.pack("<Q", dir_at + len(directory))
+    with open(path, "wb") as f:
+        f.write(head + directory + data)
+
+
+class ByteBits:
+    def __init__(self):
+        self.bits = []
+
+    def scaled(self, v, root):
+        if v < 1 << root:
+            self.bits += [0] + [v >> (root - 1 - i) & 1 for i in range(root)]
+            return
+        n = v.bit_length() - 1  # the top bit is implied
+        self.bits += [1] * (n - root + 1) + [0] + [v >> (n - 1 - i) & 1 for i in range(n)]
+
+    def align(self):
+        self.bits += [0] * (-len(self.bits) % 8)
+
+    def bytes(self):
+        return bytes(int("".join(map(str, self.bits[i : i + 8])), 2) for i in range(0, len(self.bits), 8))
+
+
+def word_index(postings, topics, leaf_words=2, roots=(2, 1, 3), node=256):
+    """Objects of a word index. postings: {(word, context): {doc: [positions]}}; topics: (url, title) by document."""
+    head, lists = bytearray(0x400), b""
+    entries = []
+    for (word, context), docs in sorted(postings.items()):
+        b, last = ByteBits(), 0
+        for d in sorted(docs):
+            b.scaled(d - last, roots[0])
+            last = d
+            b.scaled(len(docs[d]), roots[1])
+            p0 = 0
+            for p in docs[d]:
+                b.scaled(p - p0, roots[2])
+                p0 = p
+            b.align()
+        body = b.bytes()
+        entries.append((word, context, len(docs), 0x400 + len(lists), body))
+        lists += body
+    leaves = [entries[i : i + leaf_words] for i in range(0, len(entries), leaf_words)]
+    at0 = 0x400 + len(lists)
+    blob, index = b"", b""
+    for i, leaf in enumerate(leaves):
+        body, last = b"", b""
+        for word, context, count, where, raw in leaf:
+            w = word.encode("latin-1")
+            keep = 0
+            while keep < min(len(w), len(last)) and w[keep] == last[keep]:
+                keep += 1
+            body += bytes([len(w) - keep + 1, keep]) + w[keep:] + bytes([context]) + encint(count) + struct.pack("<IH", where, 0) + encint(len(raw))
+            last = w
+        nxt = at0 + (i + 1) * node if i + 1 < len(leaves) else 0
+        assert len(body) <= node - 8
+        blob += struct.pack("<IHH", nxt, 0, node - 8 - len(body)) + body.ljust(node - 8, b"\0")
+        index += bytes([len(last) + 1, 0]) + last + struct.pack("<IH", at0 + i * node, 0)
+    depth, root = 1, at0
+    if len(leaves) > 1:
+        depth, root = 2, at0 + len(blob)
+        blob += struct.pack("<H", node - 2 - len(index)) + index.ljust(node - 2, b"\0")
+    struct.pack_into("<IH", head, 0x14, root, depth)
+    struct.pack_into("<6B", head, 0x1E, 2, roots[0], 2, roots[1], 2, roots[2])
+    struct.pack_into("<I", head, 0x2E, node)
+    struct.pack_into("<I", head, 0x3E, 64)
+    strings, url_str, url_tbl, topic = b"\0", b"", b"", b""
+    for url, title in topics:
+        t_at = len(strings)
+        strings += title.encode("latin-1") + b"\0"
+        u_at = len(url_str)
+        url_str += struct.pack("<II", 0, 0) + url.encode("latin-1") + b"\0"
+        topic += struct.pack("<IiiI", 0, t_at, len(url_tbl), 0)
+        url_tbl += struct.pack("<IIi", 0, 0, u_at)
+    return [("/$FIftiMain", bytes(head) + lists + blob), ("/#TOPICS", topic), ("/#STRINGS", strings), ("/#URLTBL", url_tbl), ("/#URLSTR", url_str)]
