@@ -3,8 +3,9 @@
 A template gives for each role the markers before and after a text and whether the text is under the loss, and
 the allowed orders of roles as transitions. format_chat turns the rows of conversations into segments (markers
 and escaped texts, each with its loss flag); the segments of a conversation, joined in order, are its formatted
-string. Control strings inside texts are broken by an escape character, which is itself doubled; so a formatted
-string holds control strings only where the template put them, and read_chat gets roles and texts back.
+string. Control strings inside texts are broken after their first character by an escape; the escape character
+itself is doubled. So a formatted string holds control strings only where the template put them, and read_chat
+gets roles and texts back.
 
 Turns are shuffled once by conversation and sorted there; from then on rows stream in order, batch by batch, so
 that a conversation with a third of all rows needs a pass through one task but never its memory.
@@ -30,6 +31,10 @@ from pyspark.sql import types as T
 from quirefold.common import ship, table
 
 
+#: After the escape character: it stands for nothing and keeps a control string apart.
+BREAK = ":"
+
+
 @dataclass(frozen=True)
 class Template:
     """markers: role -> (before, after, under the loss). Other roles: other[0] + escaped name + other[1] text other[2], never under the loss."""
@@ -52,10 +57,11 @@ class Template:
         ends = sorted({c[:k] for c in self.controls for k in range(1, len(c))}, key=len, reverse=True)
         # a character from which a control string starts, or could start together with what follows the text
         find = re.compile(f"{e}|(?:(?={every})|(?=(?:{'|'.join(map(re.escape, ends)) or '(?!)'})\\Z))(.)", re.S)
-        return lambda text: find.sub(lambda m: m[0] + self.escape, text)
+        return lambda text: find.sub(lambda m: m[0] + self.escape + (BREAK if m[1] else ""), text)
 
     def unescape(self, text: str) -> str:
-        return re.sub(f"{re.escape(self.escape)}({re.escape(self.escape)})|{re.escape(self.escape)}", lambda m: m[1] or "", text)
+        e = re.escape(self.escape)
+        return re.sub(f"{e}({e}|{BREAK})", lambda m: "" if m[1] == BREAK else self.escape, text)
 
 
 DEFAULT = Template(

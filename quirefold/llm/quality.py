@@ -59,9 +59,8 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     newline = np.flatnonzero(buf == 10)
     a = np.union1d(off[:-1], newline + 1)
     a = a[a < len(buf)]
-    b = np.minimum(np.append(a[1:], len(buf)), len(buf))
-    ends_nl = buf[b - 1] == 10 if len(b) else np.zeros(0, bool)
-    b = np.where(ends_nl, b - 1, b)
+    b = np.append(a[1:], len(buf))[: len(a)]
+    b = np.where(buf[b - 1] == 10, b - 1, b)
     full = np.searchsorted(w.start, b) > np.searchsorted(w.start, a)
     a, b = a[full], b[full]
     line_doc = np.searchsorted(off, a, "right") - 1
