@@ -23,28 +23,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from quirefold.common import materialize, table
+from quirefold.common import materialize, table, with_row_numbers
 
 WEIGHTS, SHARE_NUM, SHARE_DEN, MOST = (3, 1, 2), 3, 2, 2
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """df written in order, with global row numbers `g` from 0, by the sizes of its partitions."""
-    parts = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33))
-    parts = materialize(parts, name)
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition of the sort
-    starts = parts.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_s"))
-    return parts.join(F.broadcast(starts), "_p").select(*df.columns, (F.col("_s") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("g"))
-
-
 def source_targets(sizes: DataFrame, share: tuple[int, int] = (SHARE_NUM, SHARE_DEN), weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size, n, target) from rows of (source, size), one per source."""
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    by = _numbered(by, "sources", F.col("source").asc_nulls_last())
+    by = with_row_numbers(by, "sources", F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("g") % len(weights) + 1).cast("int"))
     by = materialize(by.withColumn("w", w), "weights")
     total = by.agg(F.sum("source_size")).first()[0] or 0
@@ -71,7 +60,7 @@ def _offset() -> Column:
 
 def _copies(sizes: DataFrame) -> DataFrame:
     """sizes (id, source, size and more) with source_size, target and copies."""
-    rows = _numbered(sizes, "sizes", F.col("source").asc_nulls_last(), F.col("size"), F.col("id"))
+    rows = with_row_numbers(sizes, "sizes", F.col("source").asc_nulls_last(), F.col("size"), F.col("id"))
     sources = materialize(source_targets(rows), "targets")
     first = rows.groupBy("source").agg(F.min("g").alias("first"))
     sources = sources.join(first, sources["source"].eqNullSafe(first["source"])).select(sources["source"].alias("s"), "source_size", "target", "first")
