@@ -42,9 +42,9 @@ from quirefold.llm import textcore as tc
 
 LENGTH, GRAM = 200, 40
 #: Strings of a minimiser that one block takes; beyond, the minimiser is split.
-GROUP_STRINGS = 2_000
-#: Bytes of strings in a block.
-BLOCK_BYTES = 2 << 20
+GROUP_STRINGS = 2_500
+#: Bytes of strings from which a block is closed; a group has at most as many again.
+BLOCK_BYTES = 1 << 20
 
 
 def window_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -112,30 +112,51 @@ def _is_min(g: np.ndarray, low: np.ndarray, w: int) -> np.ndarray:
     return most[:n] == g
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of text in the order of their first `depth` symbols or more (ties in any order)."""
-    n = len(text)
-    per = 8 // text.itemsize
-    t = np.concatenate([text.astype(np.uint64), np.zeros(8, np.uint64)])
-    key = np.zeros(n, np.uint64)
-    for j in range(per):
-        key |= t[j : j + n] << np.uint64(64 // per * (per - 1 - j))
-    sa = np.argsort(key)
-    rank, have = _ranks(key, sa), per
-    while have < depth and rank[sa[-1]] < n - 1:
-        nxt = np.zeros(n, np.uint64)
-        nxt[: n - have] = rank[have:].astype(np.uint64) + np.uint64(1)
-        key = rank.astype(np.uint64) << np.uint64(32) | nxt
-        sa = np.argsort(key)
-        rank, have = _ranks(key, sa), 2 * have
-    return sa
-
-
-def _ranks(key: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    s = key[sa]
-    r = np.empty(len(sa), np.int64)
-    r[sa] = np.cumsum(np.concatenate([[0], (s[1:] != s[:-1]).astype(np.int64)]))
-    return r
+class Order:
+    """The suffixes of a text of small symbols (0 parts strings) in the order of their first `depth` symbols or more.
+
+    Prefixes are doubled in length, each step one sort of whole numbers that hold two ranks and the place. `lcp`
+    has the common prefixes with the suffix before of less than `known` symbols, the length that one number holds
+    at first; the others are `known`.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int):
+        n = len(text)
+        place = max(1, n.bit_length())
+        width = max(1, int(text.max()).bit_length())
+        if 3 * place > 64 or width + place > 64:
+            raise ValueError("the block is too large")
+        self.known = per = min((64 - place) // width, depth)
+        t = np.concatenate([text, np.zeros(per, text.dtype)]).astype(np.uint64)
+        key = np.zeros(n, np.uint64)
+        for j in range(per):
+            key = key << np.uint64(width) | t[j : j + n]
+        sh, low = np.uint64(place), np.uint64((1 << place) - 1)
+        key = key << sh | np.arange(n, dtype=np.uint64)
+        key.sort()
+        differ = (key[1:] ^ key[:-1]) >> sh
+        # leading symbols that agree: by the highest bit that differs
+        self.lcp = np.zeros(n, np.int64)
+        self.lcp[1:] = per - np.searchsorted(np.array([1 << (width * j) for j in range(per)], np.uint64), differ, "right")
+        sa = (key & low).astype(np.int64)
+        new = differ > 0
+        rank, have = self._ranks(sa, new), per
+        while have < depth and not new.all():
+            nxt = np.zeros(n, np.uint64)
+            nxt[: n - have] = rank[have:] + np.uint64(1)
+            key = rank << sh + sh | nxt << sh | np.arange(n, dtype=np.uint64)
+            key.sort()
+            sa = (key & low).astype(np.int64)
+            new = (key[1:] ^ key[:-1]) >> sh > 0
+            rank, have = self._ranks(sa, new), 2 * have
+        self.sa = sa
+
+    @staticmethod
+    def _ranks(sa: np.ndarray, new: np.ndarray) -> np.ndarray:
+        r = np.empty(len(sa), np.uint64)
+        r[sa[0]] = 0
+        r[sa[1:]] = np.cumsum(new, dtype=np.uint64)
+        return r
 
 
 def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
@@ -147,12 +168,14 @@ def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
     ends = starts + sizes
     body = np.ones(total, bool)
     body[ends] = False
-    text = np.where(body, raw.astype(np.uint16) + 1, 0)  # 0: the separator
-    if text.max() < 256:
-        text = text.astype(np.uint8)
-    sa = suffix_array(text, length)
-    flags = _expand(text, sa, length)
-    left = np.repeat(ends, sizes + 1) - np.arange(total)  # bytes up to the separator
+    code = np.zeros(256, np.int64)
+    used = np.unique(raw[body])
+    code[used] = np.arange(1, len(used) + 1)
+    text = np.where(body, code[raw], 0).astype(np.int32)  # 0: the separator
+    order = Order(text, length)
+    flags = _expand(text, order, length)
+    left = np.repeat(ends, sizes + 1) - np.arange(total)  # symbols up to the separator
+    sa = order.sa
     whole = left[sa] >= length
     same = np.zeros(total, bool)
     join = flags[1:] & whole[1:] & whole[:-1]
@@ -161,43 +184,61 @@ def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
     return [same[a : a + max(0, s - length + 1)] for a, s in zip(starts.tolist(), sizes.tolist())]
 
 
-def _expand(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
+def _expand(text: np.ndarray, order: Order, length: int) -> np.ndarray:
     """For each place in the suffix order, whether it shares `length` symbols with the one before, by breadth-first backward extension.
 
-    A level holds the intervals of strings of one length whose right boundary was met there for the first time;
-    symbol 0 is never extended over.
+    A level holds the intervals of strings of one length whose right boundary was met in the step before for the
+    first time; symbol 0 is never extended over. The first levels are those that the order's keys show.
     """
-    n = len(text)
-    bwt = text[sa - 1]  # the last text symbol is a separator, so wrapping round is harmless
-    order = np.argsort(bwt, kind="stable")
-    lf = np.empty(n, np.int64)
-    lf[order] = np.arange(n)
-    open_ = np.ones(n + 1, bool)  # boundaries not met yet
-    open_[0] = open_[n] = False
-    lb, rb = np.array([0]), np.array([n - 1])
-    for _ in range(length):
+    n, sa = len(text), order.sa
+    bwt = text[sa - 1].astype(np.uint64)  # the last symbol of the text is a separator, so wrapping round is harmless
+    place, sym = np.uint64(max(1, n.bit_length())), np.uint64(9)
+    key = bwt << place | np.arange(n, dtype=np.uint64)
+    key.sort()
+    lf = np.empty(n, np.uint64)
+    lf[(key & np.uint64((1 << int(place)) - 1)).astype(np.int64)] = np.arange(n, dtype=np.uint64)
+    known = order.known
+    open_ = np.append(order.lcp >= known, False)  # boundaries not met yet
+    open_[0] = False
+    if known >= length:
+        return open_[:n]
+    # strings of length `known`: intervals between boundaries, of which those are new whose right one shares one symbol less
+    edges = np.append(np.flatnonzero(~open_[:n]), n)
+    lcp = np.append(order.lcp, -1)
+    new = lcp[edges[1:]] == known - 1
+    lb, rb = edges[:-1][new], edges[1:][new] - 1
+    clean = left_of_separator(text, known)[sa[lb]]
+    lb, rb = lb[clean], rb[clean]
+    for _ in range(known, length):
         if not len(lb):
             break
         size = rb - lb + 1
         inside = np.repeat(lb - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        label = np.repeat(np.arange(len(lb)), size)
-        keep = bwt[inside] != 0
-        inside, label = inside[keep], label[keep]
-        to = lf[inside]
-        o = np.argsort(to)
-        to, label, sym = to[o], label[o], bwt[inside[o]]
-        if not len(to):
+        label = np.repeat(np.arange(len(lb), dtype=np.uint64), size)
+        c = bwt[inside]
+        packed = (lf[inside] << place | label) << sym | c
+        packed = packed[c != 0]
+        if not len(packed):
             break
-        cut = (to[1:] != to[:-1] + 1) | (label[1:] != label[:-1]) | (sym[1:] != sym[:-1])
-        first = np.concatenate([[True], cut])
-        last = np.concatenate([cut, [True]])
-        a, b = to[first], to[last]
+        packed.sort()
+        to = (packed >> (place + sym)).astype(np.int64)
+        what = packed & np.uint64((1 << int(place + sym)) - 1)  # label and symbol
+        cut = (to[1:] != to[:-1] + 1) | (what[1:] != what[:-1])
+        a, b = to[np.concatenate([[True], cut])], to[np.concatenate([cut, [True]])]
         fresh = open_[b + 1]
         lb, rb = a[fresh], b[fresh]
         open_[rb + 1] = False
     return open_[:n]
 
 
+def left_of_separator(text: np.ndarray, k: int) -> np.ndarray:
+    """Whether no separator is among the k symbols from each place."""
+    n = len(text)
+    zeros = np.concatenate([[0], np.cumsum(text == 0)])
+    end = np.minimum(np.arange(n) + k, n)
+    return (zeros[end] == zeros[:n]) & (np.arange(n) + k <= n)
+
+
 def _spans(on: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Byte ranges covered by the windows that are on."""
     d = np.diff(np.concatenate([[0], on.astype(np.int8), [0]]))
@@ -352,6 +393,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asks = counts.filter("mixed").select("one.id", F.struct("one.start", "one.windows", "one.at", "h", "s").alias("ask")).groupBy("id").agg(F.collect_list("ask").alias("asks"))
     strings = texts.join(asks, "id").select("id", "text", "asks").mapInArrow(_fetch(length), "h long, s long, at short, string binary")
     strings = materialize(strings, "run-strings")
+    group_strings = min(group_strings, BLOCK_BYTES // (2 * length))
     hot = materialize(counts.filter("mixed").groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > group_strings).select("h"), "hot")
     cool = strings.join(hot, "h", "left_anti")
     found = cool.select("h", "s", "string").repartition("h").sortWithinPartitions("h").mapInArrow(_blocks(length), _FOUND)
