@@ -376,9 +376,10 @@ def _hot(strings: DataFrame, hot: DataFrame, length: int, k: int, most: int) ->
     return found
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM, group_strings: int = GROUP_STRINGS) -> DataFrame:
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int | None = None, group_strings: int = GROUP_STRINGS) -> DataFrame:
     """(id, spans: array of (a, b)): for each text with repeats, the byte ranges that repeated windows cover, in order and merged."""
     ship(df.sparkSession)
+    k = min(GRAM, max(1, length // 5)) if k is None else k
     texts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     id_type = texts.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("start", T.LongType()), T.StructField("windows", T.ShortType()), T.StructField("at", T.ShortType()), T.StructField("h", T.LongType()), T.StructField("s", T.LongType())])
