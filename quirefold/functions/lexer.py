@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Possessive quantifiers keep the matcher from deep recursion on long runs.
@@ -66,6 +66,11 @@ def words(html: Column, stop_words: Iterable[str] = (), word_chars: str = WORD_C
     return split_words(plain_text(html), stop_words, word_chars)
 
 
+def read_stop_words(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a file of stop words; such a list is short."""
+    return [r[0] for r in spark.read.text(path).filter(F.trim("value") != "").distinct().collect()]
+
+
 # The same in DuckDB's dialect, for checking.
 
 _SQL_LEXEMES = _LEXEMES.replace("++", "+").replace("*+", "*").replace(r"[\p{L}\p{Nd}&&[\x{0}-\x{FFFF}]]", r"[\p{L}\p{Nd}]")

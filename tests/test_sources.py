@@ -142,3 +142,18 @@ def test_data_source(spark, tmp_path):
     assert [(r.url, r.score) for r in idx] == [(r.url, r.score) for r in found]
     out = {r.path: r.written for r in a._table("objects").filter("archive_id LIKE '%b1.chm'").transform(lambda d: __import__("quirefold.operators.sinks", fromlist=["x"]).extract(d, str(tmp_path / "out"))).collect()}
     assert all(out.values()) and (tmp_path / "out/sub/p3.html").read_bytes() == body[3][1]
+
+
+def test_command_line(spark, tmp_path):
+    from quirefold.__main__ import lines
+    from quirefold.functions.lexer import read_stop_words
+
+    path = str(tmp_path / "c.chm")
+    w.write_chm(path, [("/", b""), ("/#SYSTEM", SYSTEM), ("/a.html", b"alpha beta"), ("/toc.hhc", TOC), ("/sub/b.html", b"beta gamma")])
+    run = lambda *x: lines(spark, x[0], path, x[1] if len(x) > 1 else None)
+    assert '"encoding":"CP1252"' in run("info")[0] and run("find", "/A.html") == ["/a.html\t10"]
+    assert run("dir", "/") == ["12\tspecial file\t/#SYSTEM".replace("12", str(len(SYSTEM))), "10\tnormal file\t/a.html", "0\tnormal dir\t/sub/"]
+    assert run("search", "beta gamma") == ["/sub/b.html\tTwo"] and sorted(run("regex", "alph[a-z] g.mma")) == ["/a.html\tOne", "/sub/b.html\tTwo"]
+    assert run("topics")[1] == "    One\t/a.html" and run("extract", str(tmp_path / "out")) == [f"5 objects, {len(SYSTEM) + 20 + len(TOC)} bytes"]
+    (tmp_path / "stop.txt").write_text("the\n\nof\nthe\n")
+    assert sorted(read_stop_words(spark, str(tmp_path / "stop.txt"))) == ["of", "the"]
