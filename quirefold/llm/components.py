@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from quirefold.common import materialize
 
+#: Rows of ids that may be broadcast, a few dozen MB; more are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A table of narrow rows, marked for broadcast if it has been counted and is small; else as it is, for a join by shuffle."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of edges (a, b) reaches.

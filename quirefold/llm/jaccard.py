@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from quirefold.common import materialize, ship, table
 from quirefold.llm import textcore as tc
-from quirefold.llm.components import connected_components
+from quirefold.llm.components import connected_components, sized
 
 WIDTH, PERCENT, HOT, BLOCK = 5, 90, 64, 256
 
@@ -237,7 +237,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = materialize(member, "members")
     blocks = member.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     member = member.join(blocks, "c").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
-    sets = texts.join(member.select(F.col("cls").alias("id"), "cls", "copies", "c", "nb", "block"), "id")
+    # texts stay where they are while the list of classes is small
+    sets = texts.join(sized(member.select(F.col("cls").alias("id"), "cls", "copies", "c", "nb", "block")), "id")
     sets = sets.select("text", "cls", "copies", "c", "nb", "block").mapInArrow(_sets(width), "cls long, copies long, c long, nb int, block int, tokens array<long>")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
     cells = sets.select("*", other).select("c", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "cls", "copies", "tokens")
@@ -259,7 +260,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """The rows of df, with all columns, whose id is the least of its component. Ids must be unique."""
     drop = jaccard_join(df, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop"))
     drop = materialize(drop, "dropped")
-    return df.join(drop, df[id_col] == drop["_drop"], "left_anti")
+    return df.join(sized(drop), df[id_col] == F.col("_drop"), "left_anti")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
