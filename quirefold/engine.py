@@ -25,14 +25,11 @@ class Corpus:
         self.post = index.read_index(self.docs.sparkSession, path)
         return self
 
-    def tokens(self, terms: DataFrame | None = None) -> DataFrame:
+    def tokens(self, words: Iterable[str] | None = None) -> DataFrame:
+        """Tokens of all documents, or from an index only those words: a filter that reaches its scan."""
         if self.post is None:
             return index.tokens(self.docs, stop_words=self.stop)
-        post = self.post
-        if terms is not None and terms.filter("prefix").isEmpty():
-            words = [r[0] for r in terms.select("word").distinct().collect()]  # the words of the queries: a filter that reaches the scan
-            post = post.filter(F.col("word").isin(words))
-        return index.explode_postings(post)
+        return index.explode_postings(self.post if words is None else self.post.filter(F.col("word").isin(sorted(set(words)))))
 
     def search(self, query: str, regex: bool = False, whole_words: bool = True, titles_only: bool = False, limit: int = 0) -> DataFrame:
         """Ranked results (doc_id, score, url, topic, rank), or with regex the matching documents."""
@@ -45,8 +42,9 @@ class Corpus:
     def search_many(self, queries: list[tuple[int, str]], whole_words: bool = True, titles_only: bool = False, limit: int = 0) -> DataFrame:
         spark = self.docs.sparkSession
         terms = search.query_terms(spark, queries, self.stop, prefix=not whole_words)
-        tok = index.tokens(self.docs, "title", self.stop) if titles_only else self.tokens(terms)
-        found = search.rank(search.match(tok, terms), limit)
+        words = [w for _, q in queries for g in search.split_query(q, self.stop) for w in g]
+        tok = index.tokens(self.docs, "title", self.stop) if titles_only else self.tokens(words if whole_words else None)
+        found = search.rank(search.match(tok, terms, not whole_words), limit)
         return search.with_titles(found, self.docs).select("query_id", "doc_id", "score", F.col("path").alias("url"), "topic", "rank")
 
 
@@ -108,7 +106,7 @@ class Archives:
         key = F.struct("archive_id", "url")
         # positions of body and title are kept apart, as both count from 0
         tok = fts.select(key.alias("doc_id"), F.explode(F.transform("positions", lambda p: p.cast("long") + F.col("context").cast("long") * (1 << 32))).alias("pos"), "word")
-        found = search.rank(search.match(tok, terms), limit)
+        found = search.rank(search.match(tok, terms, not whole_words), limit)
         names = fts.groupBy(key.alias("doc_id")).agg(F.max("title").alias("topic"))
         return found.join(names, "doc_id").select("doc_id.archive_id", "doc_id.url", "topic", "score", "rank")
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirefold.functions.lexer import WORD_CHARS
 
-_TERM = "query_id long, group_id int, offset int, group_len int, n_groups int, word string, prefix boolean"
+_TERM = pa.schema([("query_id", pa.int64()), ("group_id", pa.int32()), ("offset", pa.int32()), ("group_len", pa.int32()), ("n_groups", pa.int32()), ("word", pa.string()), ("prefix", pa.bool_())])
 
 
 def split_query(query: str, stop_words: Iterable[str] = (), word_chars: str = WORD_CHARS) -> list[list[str]]:
@@ -55,15 +56,16 @@ def query_terms(spark: SparkSession, queries: Iterable[tuple[int, str]], stop_wo
         for g, words in enumerate(groups):
             for i, w in enumerate(words):
                 rows.append((q, g, i, len(words), len(groups), w, prefix and len(words) == 1))
-    return spark.createDataFrame(rows, _TERM)
+    # an Arrow table becomes a local relation, whose size the planner knows
+    columns = zip(*rows) if rows else [()] * len(_TERM)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, _TERM)], schema=_TERM))
 
 
-def match(tok: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): tok (doc_id, pos, word) against terms."""
-    by_prefix = terms.filter("prefix")
+def match(tok: DataFrame, terms: DataFrame, prefixes: bool = True) -> DataFrame:
+    """(query_id, doc_id, score): tok (doc_id, pos, word) against terms. prefixes: whether any term may be one."""
     hits = tok.join(terms.filter("not prefix"), "word")
-    if not by_prefix.isEmpty():
-        p = by_prefix.withColumnRenamed("word", "start")
+    if prefixes:
+        p = terms.filter("prefix").withColumnRenamed("word", "start")
         # equi-join on the first character, so that it isn't a cross join
         pre = tok.join(p, (F.substring("word", 1, 1) == F.substring("start", 1, 1)) & F.col("word").startswith(F.col("start")))
         hits = hits.unionByName(pre.drop("start"))

@@ -97,7 +97,7 @@ def _search_sql(table: str, queries: list[tuple[int, str]], stop: tuple[str, ...
 
 def run_search(spark: SparkSession, docs: DataFrame, queries: list[tuple[int, str]], stop: tuple[str, ...] = (), prefix: bool = False, limit: int = 0, text: str = "text") -> DataFrame:
     terms = search.query_terms(spark, queries, stop, prefix=prefix)
-    found = search.rank(search.match(index.tokens(docs, text, stop), terms), limit)
+    found = search.rank(search.match(index.tokens(docs, text, stop), terms, prefix), limit)
     return search.with_titles(found, docs).select("query_id", "doc_id", "score", F.col("path").alias("url"), "topic", "rank")
 
 
@@ -135,7 +135,7 @@ def search_benchmark_phrases(spark: SparkSession, sf: str) -> DataFrame:
     """The first words of each benchmark passage as a phrase: a batch of queries from a table."""
     w = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.slice(lexer.words(F.col("text")), 1, _BENCH_WORDS).alias("w"))
     terms = w.select(F.col("item_id").alias("query_id"), F.lit(0).alias("group_id"), F.posexplode("w").alias("offset", "word"), F.size("w").alias("group_len"), F.lit(1).alias("n_groups"), F.lit(False).alias("prefix"))
-    return search.match(index.tokens(virtual.documents(spark, sf)), terms)
+    return search.match(index.tokens(virtual.documents(spark, sf)), terms, prefixes=False)
 
 
 def _json_sql(table: str, query: str, limit: int) -> str:
