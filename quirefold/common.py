@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _SHIPPED = "_quirefold_shipped"
+#: Bytes of an Arrow batch between the JVM and Python, where the session doesn't set it: whole texts are long.
+_BATCH_KEY, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 _LOCAL_DIR: str | None = None
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers (once per Spark context)."""
+    """Make this package importable in the Python workers (once per Spark context), and keep Arrow batches small."""
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, _BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, _SHIPPED, False):
         return
