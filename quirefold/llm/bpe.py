@@ -5,7 +5,7 @@ piece of text. The encoder takes the longest token at each place and goes back t
 and its predecessor could not stand side by side: a pair may stand if merging its joined bytes by rank gives
 that pair back, which is memoised. A place from which no encoding goes on is never tried again, so the work is
 linear in the piece; the result is exactly that of merging by rank. Pieces come from the split pattern; short
-pieces are memoised in a table that is emptied when full.
+pieces are memoised in a table that becomes the older of two when full.
 
 One narrow pass, no shuffle. Nulls: a null text is an empty text (no ids); a null id of a row stays null. Bytes
 that are not UTF-8 become U+FFFD before encoding. Empty table: no rows. Further columns are ignored by
@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 from quirefold.common import ship, table
 from quirefold.llm import textcore as tc
 
-CACHED_PIECES, CACHED_CHARS = 1_000_000, 40
+#: Pieces in each of the two generations of the memo, pairs in theirs; longer pieces are not kept.
+CACHED_PIECES, CACHED_PAIRS, CACHED_CHARS = 100_000, 100_000, 40
 
 KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: KNOWN_PATTERN for code points below 256, its classes spelled out.
@@ -67,6 +68,7 @@ class Bpe:
         self.packed = {b: i.to_bytes(4, "little") for b, i in self.ranks.items()}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Merging by rank, step by step; for single tokens only."""
@@ -85,7 +87,7 @@ class Bpe:
         key = (a, b)
         ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
             ok = self.pairs[key] = self._stands(a, b)
         return ok
@@ -160,14 +162,15 @@ class Bpe:
         out = list(map(pieces.get, split))
         if None in out:
             if len(pieces) >= CACHED_PIECES:
-                pieces.clear()
+                self.older, self.pieces = pieces, {}
+                pieces = self.pieces
             at = -1
             for _ in range(out.count(None)):
                 at = out.index(None, at + 1)
                 s = split[at]
                 ids = pieces.get(s)
                 if ids is None:
-                    ids = self.encode_piece(s.encode())
+                    ids = self.older.get(s) or self.encode_piece(s.encode())
                     if len(s) <= CACHED_CHARS:
                         pieces[s] = ids
                 out[at] = ids
