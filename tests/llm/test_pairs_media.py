@@ -356,6 +356,20 @@ def test_urls_brute_force(spark):
     assert rules
 
 
+def test_urls_block_rules(spark, tmp_path):
+    """The query mines block rules, from the fixed rules and not from the labels of documents; a rule needs pages, not a part of the table."""
+    urls_ = [f"http://h{i % 7}.example.{d}/{lang}/{i}" for i in range(100) for d in ("org", "com", "net") for lang in ("es", "fr", "de")]
+    spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(len(urls_))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = registry.QUERIES["op8_urls"](spark, str(tmp_path)).collect()
+    assert len(got) == len(urls_)
+    assert {(r.path[:4], r.verdict) for r in got if r.rule is None and r.mined_confidence == 1} == {("/es/", "block"), ("/fr/", "allow")}
+    few = [(i, f"http://{'bad' if i < 25 else 'h'}{0 if i < 25 else i % 40}.net/p/{i}") for i in range(6000)]
+    labels = spark.createDataFrame([(i, "block" if i < 22 or i % 50 == 0 else "allow") for i, _ in few], "id long, verdict string")
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(few, "page_id long, url string"), labels).collect()}
+    assert all(got[i] == ("block" if i < 25 else "allow") for i, _ in few)
+
+
 def test_hasher():
     buf = np.frombuffer(b"abcabcabd" * 3, np.uint8)
     h = textcore.Hasher(buf)
