@@ -1,12 +1,13 @@
-"""License scans by a positional index of rare words.
+"""License scans by a positional index of licence words, weighted by their rarity.
 
 First pass (narrow): the licence words of each text, with their positions, and the places of the base phrases.
 The hits, without texts, are written to a table. From it the document frequency of every licence word over the
-whole corpus gives its IDF. Second pass over that table: each file's licence words of highest IDF are looked up
-in the template postings; relative positions (place in the file less place in the template) that several words
-agree on are candidates; the words of the template around that place are summed by IDF, and the mandatory key
-phrases must stand there word by word. Words too common to be licence words (STOP) are not indexed; their places
-in a phrase are any word.
+whole corpus gives its IDF. Second pass over that table: all licence words of a file are looked up in the template
+postings; at each relative position (place in the file less place in the template) the words of the template that
+stand there, SLACK words to either side, are summed by IDF. Where several words agree and the sum is a large enough
+part of the template, the mandatory key phrases must stand there word by word. So a file has the label of every
+template in it, however many there are and however long it is. Words too common to be licence words (STOP) are not
+indexed; their places in a phrase are any word.
 
 What is broadcast is the licence vocabulary, whose size is that of the templates. Nulls: a null text is empty (no
 words, no places, labels ""); null ids are kept. Empty table: no rows. Repeated rows: each counts in the
@@ -16,7 +17,7 @@ document frequencies. Further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,7 +49,9 @@ TEMPLATES = {
     "boost": ("distributed under the boost software license version 1 0", ("boost software license",)),
 }
 STOP = frozenset("a all and any are as at be can for form from has have in into is it may met no not of on or that the this to under use with without will you 0 1 2".split())
-RARE, AGREE, SLACK, MIN_SCORE = 12, 3, 2, 0.6
+AGREE, SLACK, MIN_SCORE = 3, 2, 0.6
+#: Hits whose template places are held at a time, but for a file that has more.
+_HITS_AT_ONCE = 200_000
 
 
 class Index:
@@ -59,11 +62,7 @@ class Index:
         self.words = sorted({w for t in texts for w in t.split()} - STOP | {w for t in base for w in t.split()})
         self.id = {w: i for i, w in enumerate(self.words)}
         self.labels = list(templates)
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.templates = [self._places(t) for t, _ in templates.values()]
-        for t, places in enumerate(self.templates):
-            for p, w in places:
-                self.postings[w].append((t, p))
         self.phrases = []
         for text, keys in templates.values():
             all_words = text.split()
@@ -134,43 +133,71 @@ def _scan(id_col: str, text_col: str):
     return run
 
 
-def match_templates(ix: Index, idf: list[float], hits: list[int], places: list[int]) -> dict[str, float]:
-    """Labels of the templates found in one file, with scores."""
-    at: dict[int, list[int]] = defaultdict(list)
-    for w, p in zip(hits, places):
-        at[w].append(p)
-    rare = sorted((w for w in at if w in ix.postings), key=lambda w: (-idf[w], w))[:RARE]
-    votes: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for w in rare:
-        for t, q in ix.postings[w]:
-            for p in at[w]:
-                votes[t, p - q].add(w)
-    found: dict[str, float] = {}
-    there = set(zip(places, hits))
-    for (t, shift), agree in votes.items():
-        wanted = ix.templates[t]
-        if len(agree) < min(AGREE, len({w for _, w in wanted})):
+def match_templates(ix: Index, idf: np.ndarray, ends: np.ndarray, hits: np.ndarray, places: np.ndarray) -> list[dict[str, float]]:
+    """Labels of the templates found in each file, with scores. File i has the hits from ends[i] to ends[i + 1], in order of their places."""
+    found: list[dict[str, float]] = [{} for _ in ends[1:]]
+    doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    some = np.flatnonzero(np.diff(ends))
+    if not len(some):
+        return found
+    margin = SLACK + max(p for places in ix.templates for p, _ in places)
+    # the files' places side by side on one line, far enough apart that no template meets two of them
+    room = np.zeros(len(found), np.int64)
+    room[some] = places[ends[some + 1] - 1] + 2 * margin + 1
+    first = np.cumsum(room) - room
+    line = first[doc] + places + margin
+    in_file = np.zeros((len(found), len(ix.words)), bool)
+    in_file[doc, hits] = True
+    for t, wanted in enumerate(ix.templates):
+        words = np.array([w for _, w in wanted])
+        weight = idf[words]
+        least = MIN_SCORE * weight.sum() - 1e-9
+        mine = np.flatnonzero((in_file[:, words] @ weight >= least)[doc])  # in files that hold enough of its words at all
+        if not len(mine):
             continue
-        near = lambda p, w: any((p + shift + d, w) in there for d in range(-SLACK, SLACK + 1))  # noqa: B023, E731
-        score = sum(idf[w] for p, w in wanted if near(p, w)) / sum(idf[w] for _, w in wanted)
-        label = ix.labels[t]
-        if score >= MIN_SCORE and score > found.get(label, 0):
-            exact = lambda phrase: any(all((p + shift + d, w) in there for p, w in phrase) for d in range(-SLACK, SLACK + 1))  # noqa: B023, E731
+        own_hits, own_line = hits[mine], line[mine]
+        keys = []
+        for k, (p, w) in enumerate(wanted):
+            at = own_line[own_hits == w] - p
+            keys += [(at + d) * len(wanted) + k for d in range(-SLACK, SLACK + 1)]
+        shift, k = np.divmod(np.unique(np.concatenate(keys)), len(wanted))
+        starts = np.flatnonzero(np.r_[True, shift[1:] != shift[:-1]])
+        sums = np.add.reduceat(weight[k], starts)
+        good = np.flatnonzero(sums >= least)
+        good = good[np.argsort(-sums[good], kind="stable")]
+        stops = np.r_[starts[1:], len(shift)]
+        there: dict[int, set[tuple[int, int]]] = {}
+        for g in good.tolist():
+            x = int(shift[starts[g]])
+            if len(set(words[k[starts[g] : stops[g]]].tolist())) < min(AGREE, len(set(words.tolist()))):
+                continue
+            d = int(np.searchsorted(first, x, "right")) - 1
+            if ix.labels[t] in found[d]:
+                continue
+            if d not in there:
+                own = slice(ends[d], ends[d + 1])
+                there[d] = set(zip(line[own].tolist(), hits[own].tolist()))
+            exact = lambda phrase: any(all((p + x + e, w) in there[d] for p, w in phrase) for e in range(-SLACK, SLACK + 1))  # noqa: B023, E731
             if all(map(exact, ix.phrases[t])):
-                found[label] = score
+                found[d][ix.labels[t]] = float(sums[g] / weight.sum())
     return found
 
 
 def _label(idf: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index()
+        ix, weight = index(), np.array(idf)
         for b in batches:
-            base, hits, places = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("base_labels", "hits", "places"))
-            labels, scores = [], []
-            for own, h, p in zip(base, hits, places):
-                found = match_templates(ix, idf, h, p) if len(set(h)) >= 2 else {}
-                labels.append(",".join(sorted({*found, *own.split(",")} - {""})))
-                scores.append(1.0 if own else min(1.0, max(found.values(), default=0.0)))
+            base, hits, places = (b.column(b.schema.get_field_index(c)) for c in ("base_labels", "hits", "places"))
+            ends = hits.offsets.to_numpy().astype(np.int64)
+            ends, hits, places = ends - ends[0], hits.flatten().to_numpy(), places.flatten().to_numpy()
+            labels, scores, lo = [], [], 0
+            while lo < len(base):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + _HITS_AT_ONCE, "right")) - 1)
+                part = slice(ends[lo], ends[hi])
+                for own, found in zip(base[lo:hi].to_pylist(), match_templates(ix, weight, ends[lo : hi + 1] - ends[lo], hits[part], places[part])):
+                    labels.append(",".join(sorted({*found, *own.split(",")} - {""})))
+                    scores.append(1.0 if own else min(1.0, max(found.values(), default=0.0)))
+                lo = hi
             yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:6], "labels", "score"])
 
     return run

@@ -188,6 +188,43 @@ def test_licenses(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def slow_labels(ix, idf, words):
+    """Every place of every template, one by one."""
+    at, found = {(i, ix.id[w]) for i, w in enumerate(words) if w in ix.id}, {}
+    near = range(-licenses.SLACK, licenses.SLACK + 1)
+    for t, wanted in enumerate(ix.templates):
+        for shift in range(-60, len(words) + 5):
+            agree = [w for p, w in wanted if any((p + shift + d, w) in at for d in near)]
+            score = sum(idf[w] for w in agree) / sum(idf[w] for _, w in wanted)
+            phrases = all(any(all((p + shift + d, w) in at for p, w in phrase) for d in near) for phrase in ix.phrases[t])
+            if len(set(agree)) >= licenses.AGREE and score >= licenses.MIN_SCORE and phrases:
+                found[ix.labels[t]] = max(found.get(ix.labels[t], 0), score)
+    return found
+
+
+def test_license_many_templates(spark):
+    """Files that hold many licence texts, changed ones among them, and long texts full of other licence words."""
+    r, ix, names = random.Random(9), licenses.index(), list(licenses.TEMPLATES)
+    texts = [" and then ".join(licenses.TEMPLATES[n][0] for n in names)] + [" | ".join(licenses.TEMPLATES[n][0] for n in r.sample(names, k)) for k in (2, 3, 4, 5, 8) for _ in range(3)]
+    texts.append(" ".join(r.choices(ix.words, k=3000)) + " " + licenses.TEMPLATES["cc"][0] + " " + " ".join(r.choices(ix.words, k=3000)))
+    for _ in range(12):
+        words = " and then ".join(licenses.TEMPLATES[n][0] for n in r.sample(names, 4)).split()
+        for _ in range(6):
+            i = r.randrange(len(words))
+            words[i : i + r.randint(0, 1)] = r.choice([[], ["other"], [r.choice(ix.words)]])
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([*enumerate(texts), (99, ""), (100, None)], "doc_id long, text string")
+    got = {x.doc_id: x for x in licenses.scan_licenses(df).collect()}
+    seen = Counter(w for t in texts for w in set(t.split()))
+    idf = [np.log((1 + len(texts) + 2) / (1 + seen[w])) + 1 for w in ix.words]
+    for i, t in enumerate(texts):
+        want = slow_labels(ix, idf, t.split())
+        assert got[i].labels == ",".join(sorted({*want, *filter(None, got[i].base_labels.split(","))})), i
+        assert got[i].score == pytest.approx(1.0 if got[i].base_labels else max(want.values(), default=0.0))
+    assert set(names) <= set(got[0].labels.split(",")) and "cc" in got[16].labels.split(",")
+    assert got[99].labels == got[100].labels == ""
+
+
 def test_license_base_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     got = {x.doc_id: (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) for x in licenses.scan_licenses(docs).collect()}
