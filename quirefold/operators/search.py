@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirefold.functions import lexer
 from quirefold.functions.lexer import WORD_CHARS
+from quirefold.operators import index
 
 _TERM = pa.schema([("query_id", pa.int64()), ("group_id", pa.int32()), ("offset", pa.int32()), ("group_len", pa.int32()), ("n_groups", pa.int32()), ("word", pa.string()), ("prefix", pa.bool_())])
 
@@ -75,6 +77,23 @@ def match(tok: DataFrame, terms: DataFrame, prefixes: bool = True) -> DataFrame:
     return docs.filter("g = n_groups").select("query_id", "doc_id", "score")
 
 
+def match_passages(docs: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:
+    """(query_id, doc_id, score): whole passages (query_id, words) as phrases, of any length and with words of any length.
+
+    A passage is looked for where the rarest of its words stands and compared there as a whole. One row per passage,
+    and the distinct words of all, are broadcast.
+    """
+    tok = index.tokens(docs, text, max_word=None)
+    terms = passages.select("query_id", "words", F.posexplode("words").alias("offset", "word"))
+    counts = tok.join(F.broadcast(terms.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("n"))
+    rarest = F.min_by(F.struct("word", "offset"), F.struct(F.coalesce("n", F.lit(0)), "offset"))
+    anchors = terms.join(counts, "word", "left").groupBy("query_id", "words").agg(rarest.alias("a")).select("query_id", "words", "a.word", "a.offset")
+    at = tok.join(F.broadcast(anchors), "word").select("query_id", "doc_id", "words", (F.col("pos") - F.col("offset")).alias("at")).filter("at >= 0")
+    own = docs.select(F.col("doc_id").alias("_id"), lexer.words(F.col(text)).alias("_own"))
+    hits = at.join(own, F.col("doc_id").eqNullSafe(F.col("_id"))).filter(F.slice("_own", F.col("at") + 1, F.size("words")) == F.col("words"))
+    return hits.select("query_id", "doc_id", "at").distinct().groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
+
+
 def rank(found: DataFrame, limit: int = 0) -> DataFrame:
     """With rank by score, then doc_id; the first `limit` of each query if it is above 0."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
