@@ -89,12 +89,17 @@ class Archives:
 
     def documents(self) -> DataFrame:
         """Text files as a corpus; documents are numbered in directory order within an archive."""
+        return self._user_objects().filter("doc_id IS NOT NULL")
+
+    def _user_objects(self) -> DataFrame:
+        """All USER objects as documents; those that aren't text files have no doc_id."""
         from pyspark.sql.window import Window
 
-        text = self.objects().filter(unit_ops.matches(F.col("flags"), unit_ops.USER) & F.lower("path").rlike(r"\.(txt|html?|xml|xhtml)$") & F.col("text").isNotNull())
-        number = F.row_number().over(Window.partitionBy("archive_id").orderBy("ord")) - 1
+        user = self.objects().filter(unit_ops.matches(F.col("flags"), unit_ops.USER) & F.col("text").isNotNull())
+        is_text = F.lower("path").rlike(r"\.(txt|html?|xml|xhtml)$")
+        number = F.when(is_text, F.sum(is_text.cast("long")).over(Window.partitionBy("archive_id").orderBy("ord")) - 1)
         t = self.titles().withColumnRenamed("archive_id", "_a").withColumnRenamed("path_key", "_k")
-        d = text.withColumn("doc_id", number).join(t, (F.col("archive_id") == F.col("_a")) & (F.col("path_key") == F.col("_k")), "left")
+        d = user.withColumn("doc_id", number).join(t, (F.col("archive_id") == F.col("_a")) & (F.col("path_key") == F.col("_k")), "left")
         return d.select("archive_id", F.col("doc_id").cast("long").alias("doc_id"), "path", "title", "text")
 
     def search_index(self, query: str, whole_words: bool = False, titles_only: bool = False, limit: int = 0) -> DataFrame:
@@ -111,10 +116,10 @@ class Archives:
         return found.join(names, "doc_id").select("doc_id.archive_id", "doc_id.url", "topic", "score", "rank")
 
     def search(self, query: str, regex: bool = False, whole_words: bool = False, titles_only: bool = False, limit: int = 300) -> DataFrame:
-        """By regular expressions if asked for, else in the archives' own index where they have one, else over their texts."""
+        """By regular expressions over all USER objects if asked for, else in the archives' own index where they have one, else over their texts."""
         if not regex and not self.info().filter("has_index").isEmpty():
             return self.search_index(query, whole_words, titles_only, limit)
-        return Corpus(self.documents()).search(query, regex=regex, limit=limit)
+        return Corpus(self._user_objects() if regex else self.documents()).search(query, regex=regex, limit=limit)
 
     def extract(self, target: str) -> DataFrame:
         return sinks.extract(self.objects(), target)

@@ -144,6 +144,15 @@ def test_data_source(spark, tmp_path):
     assert all(out.values()) and (tmp_path / "out/sub/p3.html").read_bytes() == body[3][1]
 
 
+def test_regex_all_objects(spark, tmp_path):
+    path = str(tmp_path / "r.chm")
+    w.write_chm(path, [("/", b""), ("/#SYSTEM", SYSTEM), ("/a.html", b"alpha"), ("/b.css", b"p { alpha: 1 }"), ("/c.js", b"x"), ("/d.txt", b"alpha"), ("/toc.hhc", TOC)])
+    a = Archives(spark, path)
+    found = {r.path: r.doc_id for r in a.search("alp[h]a", regex=True).collect()}
+    assert found == {"/a.html": 0, "/b.css": None, "/d.txt": 1}
+    assert {r.path: r.doc_id for r in a.documents().collect()} == {"/a.html": 0, "/d.txt": 1}
+
+
 def test_command_line(spark, tmp_path):
     from quirefold.__main__ import lines
     from quirefold.functions.lexer import read_stop_words
