@@ -5,9 +5,10 @@ The hits, without texts, are written to a table. From it the document frequency
 whole corpus gives its IDF. Second pass over that table: all licence words of a file are looked up in the template
 postings; at each relative position (place in the file less place in the template) the words of the template that
 stand there, SLACK words to either side, are summed by IDF. Where several words agree and the sum is a large enough
-part of the template, the mandatory key phrases must stand there word by word. So a file has the label of every
-template in it, however many there are and however long it is. Words too common to be licence words (STOP) are not
-indexed; their places in a phrase are any word.
+part of the template, the mandatory key phrases must stand there. So a file has the label of every template in it,
+however many there are and however long it is. Words too common to be licence words (STOP) have no postings, but the
+key phrases are compared word by word, those words too, in the first pass, which has the text: the place of each
+whole phrase is a hit like those of words. Work and hits grow with the text alone, whatever repeats in it.
 
 What is broadcast is the licence vocabulary, whose size is that of the templates. Nulls: a null text is empty (no
 words, no places, labels ""); null ids are kept. Empty table: no rows. Repeated rows: each counts in the
@@ -63,15 +64,22 @@ class Index:
         self.id = {w: i for i, w in enumerate(self.words)}
         self.labels = list(templates)
         self.templates = [self._places(t) for t, _ in templates.values()]
-        self.phrases = []
+        #: by template: (number of a key phrase, its place in the template); hits of phrase i have the id len(words) + i
+        self.phrases: list[list[tuple[int, int]]] = []
+        phrases: list[list[str]] = []
         for text, keys in templates.values():
             all_words = text.split()
             self.phrases.append([])
             for k in keys:
-                at = next(i for i in range(len(all_words)) if all_words[i : i + len(k.split())] == k.split())
-                self.phrases[-1].append([(at + p, w) for p, w in self._places(k)])
+                phrase = k.split()
+                at = next(i for i in range(len(all_words)) if all_words[i : i + len(phrase)] == phrase)
+                self.phrases[-1].append((len(phrases), at))
+                phrases.append(phrase)
+        common = sorted({w for p in phrases for w in p} - set(self.words))  # looked up for the phrases only
+        ids = self.id | {w: len(self.words) + i for i, w in enumerate(common)}
+        self.keys = [[ids[w] for w in p] for p in phrases]
         self.base = [([self.id[w] for w in p.split()], label) for p, label in base.items()]
-        raw = b" ".join(w.encode() for w in self.words)
+        raw = b" ".join(w.encode() for w in [*self.words, *common])
         buf = np.frombuffer(raw, np.uint8)
         w = tc.Words(buf, np.array([0, len(buf)]), tc.NOT_ALNUM)
         h = tc.Hasher(buf).ranges(w.start, w.end)
@@ -105,6 +113,15 @@ def index() -> Index:
 _HITS = [("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T.LongType()), ("last_word", T.LongType()), ("base_labels", T.StringType()), ("hits", T.ArrayType(T.IntegerType())), ("places", T.ArrayType(T.LongType()))]
 
 
+def _phrase_places(phrase: list[int], doc: np.ndarray, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which hits begin the phrase: its words are hits in a row."""
+    at = np.flatnonzero(ids == phrase[0])
+    for j, word in enumerate(phrase[1:], 1):
+        at = at[at + j < len(ids)]
+        at = at[(ids[at + j] == word) & (doc[at + j] == doc[at]) & (place[at + j] == place[at] + j)]
+    return at
+
+
 def _scan(id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index()
@@ -115,15 +132,19 @@ def _scan(id_col: str, text_col: str):
                 total, first, last = np.zeros(n, np.int64), np.full(n, 1 << 62), np.full(n, -1)
                 labels: list[set[str]] = [set() for _ in range(n)]
                 for phrase, label in ix.base:
-                    at = np.flatnonzero(ids == phrase[0])
-                    for j, word in enumerate(phrase[1:], 1):  # the words of a phrase are hits in a row
-                        at = at[at + j < len(ids)]
-                        at = at[(ids[at + j] == word) & (doc[at + j] == doc[at]) & (place[at + j] == place[at] + j)]
+                    at = _phrase_places(phrase, doc, place, ids)
                     np.add.at(total, doc[at], 1)
                     np.minimum.at(first, doc[at], place[at])
                     np.maximum.at(last, doc[at], place[at])
                     for d in np.unique(doc[at]).tolist():
                         labels[d].add(label)
+                whole = [_phrase_places(k, doc, place, ids) for k in ix.keys]
+                words = np.flatnonzero(ids < len(ix.words))
+                at = np.concatenate([words, *whole])
+                ids = np.concatenate([ids[words], np.repeat(len(ix.words) + np.arange(len(whole)), [len(x) for x in whole])])
+                order = np.argsort(at, kind="stable")
+                at, ids = at[order], ids[order]
+                doc, place = doc[at], place[at]
                 ends = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
                 none = total == 0
                 cols = [tc.id_array(rows, id_col), pa.array(count), pa.array(total), pa.array(first, mask=none), pa.array(last, mask=none), pa.array([",".join(sorted(x)) for x in labels], pa.string())]
@@ -146,40 +167,40 @@ def match_templates(ix: Index, idf: np.ndarray, ends: np.ndarray, hits: np.ndarr
     room[some] = places[ends[some + 1] - 1] + 2 * margin + 1
     first = np.cumsum(room) - room
     line = first[doc] + places + margin
-    in_file = np.zeros((len(found), len(ix.words)), bool)
+    in_file = np.zeros((len(found), len(ix.words) + len(ix.keys)), bool)
     in_file[doc, hits] = True
     for t, wanted in enumerate(ix.templates):
         words = np.array([w for _, w in wanted])
         weight = idf[words]
         least = MIN_SCORE * weight.sum() - 1e-9
-        mine = np.flatnonzero((in_file[:, words] @ weight >= least)[doc])  # in files that hold enough of its words at all
+        may = in_file[:, words] @ weight >= least  # files that hold enough of its words at all, and its phrases
+        may &= in_file[:, [len(ix.words) + k for k, _ in ix.phrases[t]]].all(1)
+        mine = np.flatnonzero(may[doc])
         if not len(mine):
             continue
         own_hits, own_line = hits[mine], line[mine]
-        keys = []
-        for k, (p, w) in enumerate(wanted):
+        near = range(-SLACK, SLACK + 1)
+        # shifts at which all key phrases stand, word by word
+        shifts = None
+        for k, p in ix.phrases[t]:
+            at = own_line[own_hits == len(ix.words) + k] - p
+            at = np.unique(np.concatenate([at + d for d in near]))
+            shifts = at if shifts is None else np.intersect1d(shifts, at, assume_unique=True)
+        if shifts is None or not len(shifts):
+            continue
+        sums, agree = np.zeros(len(shifts)), np.zeros((len(shifts), len(set(words.tolist()))), bool)
+        column = {w: i for i, w in enumerate(dict.fromkeys(words.tolist()))}
+        for p, w in wanted:
             at = own_line[own_hits == w] - p
-            keys += [(at + d) * len(wanted) + k for d in range(-SLACK, SLACK + 1)]
-        shift, k = np.divmod(np.unique(np.concatenate(keys)), len(wanted))
-        starts = np.flatnonzero(np.r_[True, shift[1:] != shift[:-1]])
-        sums = np.add.reduceat(weight[k], starts)
-        good = np.flatnonzero(sums >= least)
-        good = good[np.argsort(-sums[good], kind="stable")]
-        stops = np.r_[starts[1:], len(shift)]
-        there: dict[int, set[tuple[int, int]]] = {}
-        for g in good.tolist():
-            x = int(shift[starts[g]])
-            if len(set(words[k[starts[g] : stops[g]]].tolist())) < min(AGREE, len(set(words.tolist()))):
-                continue
-            d = int(np.searchsorted(first, x, "right")) - 1
-            if ix.labels[t] in found[d]:
-                continue
-            if d not in there:
-                own = slice(ends[d], ends[d + 1])
-                there[d] = set(zip(line[own].tolist(), hits[own].tolist()))
-            exact = lambda phrase: any(all((p + x + e, w) in there[d] for p, w in phrase) for e in range(-SLACK, SLACK + 1))  # noqa: B023, E731
-            if all(map(exact, ix.phrases[t])):
-                found[d][ix.labels[t]] = float(sums[g] / weight.sum())
+            there = np.isin(shifts, np.concatenate([at + d for d in near]))
+            sums += idf[w] * there
+            agree[:, column[w]] |= there
+        ok = (sums >= least) & (agree.sum(1) >= min(AGREE, len(column)))
+        file = np.searchsorted(first, shifts[ok], "right") - 1
+        best = np.zeros(len(found))
+        np.maximum.at(best, file, sums[ok])
+        for d in np.unique(file).tolist():
+            found[d][ix.labels[t]] = float(best[d] / weight.sum())
     return found
 
 

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,19 +190,26 @@ def test_licenses(spark):
 
 
 def slow_labels(ix, idf, words):
-    """Every place of every template, one by one."""
+    """Every place of every template, one by one; key phrases in the text itself."""
     at, found = {(i, ix.id[w]) for i, w in enumerate(words) if w in ix.id}, {}
     near = range(-licenses.SLACK, licenses.SLACK + 1)
-    for t, wanted in enumerate(ix.templates):
+    for (label, (text, keys)), wanted in zip(licenses.TEMPLATES.items(), ix.templates):
+        places = [(text.split().index(k.split()[0]), k.split()) for k in keys]
+        places = [(next(i for i in range(len(text.split())) if text.split()[i : i + len(k)] == k), k) for _, k in places]
         for shift in range(-60, len(words) + 5):
             agree = [w for p, w in wanted if any((p + shift + d, w) in at for d in near)]
             score = sum(idf[w] for w in agree) / sum(idf[w] for _, w in wanted)
-            phrases = all(any(all((p + shift + d, w) in at for p, w in phrase) for d in near) for phrase in ix.phrases[t])
+            phrases = all(any(p + shift + d >= 0 and words[p + shift + d :][: len(k)] == k for d in near) for p, k in places)
             if len(set(agree)) >= licenses.AGREE and score >= licenses.MIN_SCORE and phrases:
-                found[ix.labels[t]] = max(found.get(ix.labels[t], 0), score)
+                found[label] = max(found.get(label, 0), score)
     return found
 
 
+def license_idf(ix, texts, n):
+    seen = Counter(w for t in texts for w in set(t.split()))
+    return [np.log((1 + n) / (1 + seen[w])) + 1 for w in ix.words]
+
+
 def test_license_many_templates(spark):
     """Files that hold many licence texts, changed ones among them, and long texts full of other licence words."""
     r, ix, names = random.Random(9), licenses.index(), list(licenses.TEMPLATES)
@@ -211,18 +219,50 @@ def test_license_many_templates(spark):
         words = " and then ".join(licenses.TEMPLATES[n][0] for n in r.sample(names, 4)).split()
         for _ in range(6):
             i = r.randrange(len(words))
-            words[i : i + r.randint(0, 1)] = r.choice([[], ["other"], [r.choice(ix.words)]])
+            words[i : i + r.randint(0, 1)] = r.choice([[], ["other"], ["the"], [r.choice(ix.words)]])
         texts.append(" ".join(words))
-    df = spark.createDataFrame([*enumerate(texts), (99, ""), (100, None)], "doc_id long, text string")
-    got = {x.doc_id: x for x in licenses.scan_licenses(df).collect()}
-    seen = Counter(w for t in texts for w in set(t.split()))
-    idf = [np.log((1 + len(texts) + 2) / (1 + seen[w])) + 1 for w in ix.words]
+    texts.append(texts[0])
+    df = spark.createDataFrame([*enumerate(texts), (99, ""), (100, None), (None, texts[1])], "doc_id long, text string")
+    rows = licenses.scan_licenses(df).collect()
+    got = {x.doc_id: x for x in rows}
+    idf = license_idf(ix, [*texts, texts[1]], len(texts) + 3)
     for i, t in enumerate(texts):
         want = slow_labels(ix, idf, t.split())
         assert got[i].labels == ",".join(sorted({*want, *filter(None, got[i].base_labels.split(","))})), i
         assert got[i].score == pytest.approx(1.0 if got[i].base_labels else max(want.values(), default=0.0))
     assert set(names) <= set(got[0].labels.split(",")) and "cc" in got[16].labels.split(",")
-    assert got[99].labels == got[100].labels == ""
+    assert got[99].labels == got[100].labels == "" and got[None].labels == got[1].labels and len(rows) == len(texts) + 3
+
+
+def test_license_key_phrases(spark):
+    """A phrase counts only with all its words, the common ones too; a template counts with words missing elsewhere."""
+    mit, bsd = licenses.TEMPLATES["mit"][0], licenses.TEMPLATES["bsd"][0]
+    texts = [
+        mit.replace("permission is", "permission never").replace("of charge", "xx charge"), bsd.replace("and binary", "zz binary"), mit.replace("free of charge", "free charge"), mit.replace("any person", "some one"), bsd.replace("following", "usual"),
+        mit.replace("software and associated", "software with associated"), mit.replace("associated documentation files", "associated other files"), mit.replace("is hereby", "is is hereby"),
+    ]
+    got = {x.doc_id: x.labels for x in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "", 1: "", 2: "", 3: "mit", 4: "bsd", 5: "mit", 6: "", 7: ""}
+
+
+def test_license_repeats_are_bounded():
+    """Work on a text of repeated licence words grows with the text, in time and hits, even where whole templates repeat."""
+    import time
+
+    ix = licenses.index()
+    idf = np.ones(len(ix.words))
+
+    def scan(text):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
+        began = time.process_time()
+        out = next(licenses._scan("doc_id", "text")(iter([batch])))
+        list(licenses._label(list(idf))(iter([out])))
+        return time.process_time() - began, len(out.column(6)[0])
+
+    for text in ("license software permission ", licenses.TEMPLATES["boost"][0] + " "):
+        scan(text)
+        (t1, n1), (t4, n4) = scan(text * 20_000), scan(text * 80_000)
+        assert n4 == 4 * n1 <= 20_000 * 4 * (len(text.split()) + 1) and t4 < 12 * t1 + 1
 
 
 def test_license_base_brute_force(spark, sf):
