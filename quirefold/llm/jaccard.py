@@ -5,24 +5,32 @@ among the first p(x), p(y) of any common order of tokens, with p(n) = n - ceil(n
 
 1. Equal sets collapse into one class, classes with the same size and the same first tokens (by hash) into one
    group; only groups take part in the join. A head holds somewhat more than p tokens.
-2. Tokens in heads of more than HOT groups go last in the order, so prefixes are made of rare tokens. Where the
-   head has fewer than p others (texts made of common passages), the group is `dense`: pairs with a dense group
-   use the order by hash alone on both sides, which holds for them too. So no token is left out.
-3. Group pairs come from an equi-join on tokens with the length filter, are reduced to one row (map-side
-   combine), and are filtered by the differences that their prefixes already show: up to where the shorter
-   prefix ends all common tokens are known.
-4. What is left is nearly the result. Its connected components are cut into blocks of at most BLOCK classes,
-   and sets (from the texts, those classes only) meet in cells of two blocks, where overlaps are counted by
-   matrix products. A cell returns links by class and a spanning forest, never its pairs.
+2. Tokens in heads of more than HOT groups are hot and go last in the order, so prefixes are made of rare tokens.
+   Where a head has fewer than p others, as in texts that share long notices, it is made anew from all tokens of the
+   text, until every group has its p rare tokens or has been seen whole. The latter are `dense`: more than
+   100 - PERCENT % of their tokens are hot.
+3. Rare tokens of prefixes are joined: at most HOT groups meet at one. Pairs of groups (length filter) are reduced
+   to one row (map-side combine) and filtered by the differences that their prefixes already show. Whatever a
+   dense group shares with one that isn't dense is found here, as the latter's prefix is all rare.
+4. Dense groups that share hot tokens alone are a few large clusters, whose pairs are never listed. They collapse
+   into buckets by their first hot tokens and size class; buckets, not groups, are joined by the hot tokens of
+   their members' prefixes. The number of buckets of a cluster hardly grows with it.
+5. Candidates are verified in cells of two blocks of at most about BLOCK classes: a block is part of a large group
+   or bucket, or some small ones of one connected component of candidates. A cell exists only where two blocks
+   have candidates, and only the classes that take part are sent to it, so a component of loose chains costs by its
+   candidate pairs and a tight cluster by its blocks. A class has one block, so that each pair is met in one cell. Sets
+   (from the texts, those classes only) are compared there by matrix products. A cell returns links by class and
+   a spanning forest, never its pairs.
 
 Exact for texts of any length: sizes are compared as integers, tokens by 64-bit hashes. Hot keys: copies are
-collapsed before the join, common tokens go last, cells are bounded, and skewed joins are left to adaptive
-execution.
-
-Nulls: a null text, or one without words, has an empty set: n_shingles 0, n_similar 0, its own component.
-A null id: its own component, null. Texts of fewer words than `width` are one shingle. Ties and repeated rows: copies
-of one class, linked with each other; ids are unique but for repeated rows. Empty table: no rows. Further columns are ignored by jaccard_join and kept
-by keep_one.
+collapsed before the join, common tokens aren't joined by pairs, cells are bounded, and skewed joins are left to
+adaptive execution.
+
+Nulls: a null text, or one without words, has an empty set: n_shingles 0, n_similar 0, its own component. A row with
+a null id takes part like any other; its id stays null, also as the component of rows of null ids alone, and ids
+must be below 2**62 where there are such rows. Texts of fewer words than `width` are one shingle. Ties and repeated
+rows: copies of one class, linked with each other; ids are unique but for repeated rows. Empty table: no rows.
+Further columns are ignored by jaccard_join and kept by keep_one, which keeps all rows of null ids, as it drops by id.
 """
 
 from __future__ import annotations
@@ -40,6 +48,12 @@ from quirefold.llm import textcore as tc
 from quirefold.llm.components import connected_components, sized
 
 WIDTH, PERCENT, HOT, BLOCK = 5, 90, 64, 256
+#: First hot tokens whose equality makes a bucket of dense groups.
+SIGNATURE = 3
+#: Tokens of a class from which it takes the room of several in a block.
+LONG_SET = 1000
+#: Numbers from here on stand for rows without id.
+NO_ID = 1 << 62
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -82,9 +96,9 @@ def _heads(width: int, percent: int):
                 p = [prefix_length(len(s), percent) if len(s) else 0 for s in sets]
                 heads = [s[: q + q // 4 + 8] for s, q in zip(sets, p)]
                 hashed = [(int(s.sum()), int(tc.mix(s ^ tc.WORD_MULT[0]).sum()), int((tc.mix(x + tc.WORD_MULT[1])).sum())) for s, x in zip(sets, heads)]
-                cols = [tc.id_array(rows, "id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(p, pa.int64())]
+                cols = [tc.id_array(rows, "key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(p, pa.int64())]
                 cols += [_i64([x[j] for x in hashed]) for j in range(3)]
-                yield pa.RecordBatch.from_arrays([*cols, _lists(heads)], ["id", "n", "p", "k1", "k2", "hh", "head"])
+                yield pa.RecordBatch.from_arrays([*cols, _lists(heads)], ["key", "n", "p", "k1", "k2", "hh", "head"])
 
     return run
 
@@ -129,16 +143,16 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _cells(percent: int):
-    """Rows (c, i, j, block, cls, copies, tokens) sorted by cell: links and a spanning forest of the links that cross the cell's two blocks."""
+    """Rows (lo, hi, block, cls, copies, tokens) sorted by cell: links and a spanning forest of the links that cross the cell's two blocks."""
 
-    def solve(rows: list[tuple[int, int, int, np.ndarray]], i: int, j: int) -> Iterator[tuple[int, int, int]]:
+    def solve(rows: list[tuple[int, int, int, np.ndarray]], cross: bool) -> Iterator[tuple[int, int, int]]:
         rows.sort(key=lambda r: r[1])
         block, cls, copies, sets = zip(*rows)
         inter = np.rint(overlaps(list(sets))).astype(np.int64)
         size = np.array([len(s) for s in sets])
         linked = 100 * inter >= percent * (size[:, None] + size[None, :] - inter)
         np.fill_diagonal(linked, False)
-        if i != j:
+        if cross:
             b = np.array(block)
             linked &= b[:, None] != b[None, :]
         weight = linked @ np.array(copies, np.int64)
@@ -161,18 +175,18 @@ def _cells(percent: int):
             lists = get("tokens")
             offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
             done: list[tuple[int, int, int]] = []
-            for k, (c, i, j, block, cls, copies) in enumerate(zip(*(get(c).to_pylist() for c in ("c", "i", "j", "block", "cls", "copies")))):
-                if cell is not None and (c, i, j) != cell:
-                    done += solve(rows, cell[1], cell[2])
+            for k, (lo, hi, block, cls, copies) in enumerate(zip(*(get(c).to_pylist() for c in ("lo", "hi", "block", "cls", "copies")))):
+                if cell is not None and (lo, hi) != cell:
+                    done += solve(rows, cell[0] != cell[1])
                     rows = []
-                cell = (c, i, j)
+                cell = (lo, hi)
                 if rows and rows[-1][1] == cls:  # a repeated row of the table
                     continue
                 rows.append((block, cls, copies, flat[offs[k] : offs[k + 1]].copy()))
             if done:
                 yield _links(done)
         if rows:
-            yield _links(list(solve(rows, cell[1], cell[2])))
+            yield _links(list(solve(rows, cell[0] != cell[1])))
 
     return run
 
@@ -181,88 +195,153 @@ def _links(done: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.int64()) for k in range(3)], ["cls", "links", "root"])
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, text): the id, or for the rows without one a number beyond all ids, which are written so that it stays."""
+    texts = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    none = texts.filter("key IS NULL")
+    if none.isEmpty():
+        return texts.filter("key IS NOT NULL")
+    return texts.filter("key IS NOT NULL").unionByName(materialize(none.withColumn("key", F.lit(NO_ID) + F.monotonically_increasing_id()), "rows-without-id"))
+
+
+def _ranked(groups: DataFrame, texts: DataFrame, width: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, dense) of groups (g, n, p, head). rows: (token, g, n, p, r), the rare tokens of each prefix that two groups share; dense: (g, n, sig, token), the hot ones of dense groups with their first ones' hash.
+
+    Each round makes the heads of groups whose rare tokens don't suffice anew from their whole texts, counts all
+    tokens again, and ends when no group needs it.
+    """
+    heads, whole = groups.withColumn("whole", F.size("head") >= F.col("n")), None
+    while True:
+        rows = heads.select("g", "n", "p", "whole", F.posexplode("head").alias("rank", "token"))
+        counts = materialize(rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "tokens")
+        hots = counts.filter(F.col("df") > hot).select("token", "df")
+        if hots.isEmpty():
+            rows = rows.join(counts, "token").filter("rank < p").select("token", "g", "n", "p", F.col("rank").alias("r"))
+            return materialize(rows, "prefix-rows"), rows.limit(0).select("g", "n", F.lit(0).cast("long").alias("sig"), "token")
+        n_hot = rows.join(hots, "token").groupBy("g").agg(F.count("*").alias("n_hot"))
+        short = heads.join(n_hot, "g").filter(~F.col("whole") & (F.size("head") - F.col("n_hot") < F.col("p"))).select("g")
+        short = materialize(short, "short-heads")
+        if short.isEmpty():
+            break
+        more = texts.join(sized(short), texts["key"] == short["g"]).select("g", "text").mapInArrow(_sets(width), "g long, tokens array<long>").dropDuplicates(["g"])
+        longer = groups.select("g", "n", "p").join(more, "g").select("g", "n", "p", F.col("tokens").alias("head"), F.lit(True).alias("whole"))
+        heads = materialize(heads.join(sized(short), "g", "left_anti").select("g", "n", "p", "head", "whole").unionByName(longer), "heads")
+    # tokens of heads with a hot one among them are put in order: rare ones by hash, then hot ones, rarer classes first
+    with_hot = rows.join(counts, "token", "left").join(n_hot, "g", "left")
+    plain = with_hot.filter("n_hot IS NULL AND df IS NOT NULL AND rank < p").select("token", "g", "n", "p", F.col("rank").alias("r"))
+    log = F.when(F.col("df") > hot, F.floor(F.log2("df"))).otherwise(0).cast("int")
+    own = with_hot.filter("n_hot IS NOT NULL").groupBy("g", "n", "p").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(log, F.lit(0)).alias("l"), "rank", "token", F.coalesce("df", F.lit(1)).alias("df")))).alias("t"))  # at most a text's own tokens
+    own = own.withColumn("t", F.slice("t", F.lit(1), F.col("p").cast("int"))).withColumn("n_rare", F.size(F.filter("t", lambda x: x["l"] == 0)))
+    own = materialize(own, "ordered-heads")
+    mixed = own.select("g", "n", "p", F.posexplode("t").alias("r", "x")).filter("x.l = 0 AND x.df > 1").select("x.token", "g", "n", "p", "r")
+    rows = materialize(plain.unionByName(mixed), "prefix-rows")
+    sig = F.xxhash64(F.slice(F.filter("t", lambda x: x["l"] > 0)["token"], 1, SIGNATURE))
+    dense = own.filter("n_rare < p").select("g", "n", sig.alias("sig"), F.explode(F.filter("t", lambda x: x["l"] > 0)["token"]).alias("token"))
+    return rows, materialize(dense, "dense-rows")
+
+
 def _group_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of groups that the prefix filters leave. rows: (token, g, n, p, rank, hot, n_hot_before, dense)."""
+    """(a, b): pairs of groups that share a rare token of their prefixes and that the filters leave. rows: as of _ranked."""
     alpha = lambda x, y: F.ceil((x + y) * percent / (100 + percent))
     need = (F.col("n") * percent <= F.col("n2") * 100) & (F.col("n2") * percent <= F.col("n") * 100)
-
-    def joined(x: DataFrame, y: DataFrame, once) -> DataFrame:
-        y = y.select("token", F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("r").alias("r2"), F.col("dense").alias("dense2"))
-        both = x.join(y, "token").filter(once & need)
-        swap = F.col("g") > F.col("g2")
-        side = lambda u, v: (F.when(swap, F.col(v)).otherwise(F.col(u)), F.when(swap, F.col(u)).otherwise(F.col(v)))
-        (a, b), (na, nb), (pa_, pb), (ra, rb) = side("g", "g2"), side("n", "n2"), side("p", "p2"), side("r", "r2")
-        pairs = both.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb"), pa_.alias("pa"), pb.alias("pb"), ra.alias("ra"), rb.alias("rb"))
-        pairs = pairs.groupBy("a", "b", "na", "nb", "pa", "pb").agg(F.count("*").alias("c"), F.max("ra").alias("ra"), F.max("rb").alias("rb"))
-        most = F.col("na") + F.col("nb") - 2 * alpha(F.col("na"), F.col("nb"))
-        c2 = 2 * F.col("c")
-        seen = F.least(F.col("pa") + F.col("rb") + 1 - c2, F.col("pb") + F.col("ra") + 1 - c2)
-        return pairs.filter(seen <= most).select("a", "b")
-
-    rare = rows.filter("not hot and not dense").withColumn("r", F.col("rank") - F.col("n_hot_before")).filter("r < p")
-    plain = rows.withColumn("r", F.col("rank")).filter("r < p")
-    dense = plain.filter("dense")
-    out = joined(rare, rare, F.col("g") < F.col("g2"))
-    if not dense.isEmpty():
-        out = out.unionByName(joined(dense, plain, ~F.col("dense2") | (F.col("g") < F.col("g2"))))
-    return out
+    y = rows.select("token", F.col("g").alias("b"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("r").alias("r2"))
+    both = rows.withColumnRenamed("g", "a").join(y, "token").filter((F.col("a") < F.col("b")) & need)
+    pairs = both.groupBy("a", "b", "n", "n2", "p", "p2").agg(F.count("*").alias("c"), F.max("r").alias("ra"), F.max("r2").alias("rb"))
+    most = F.col("n") + F.col("n2") - 2 * alpha(F.col("n"), F.col("n2"))
+    # up to where the shorter prefix ends all common tokens are known
+    c2 = 2 * F.col("c")
+    seen = F.least(F.col("p") + F.col("rb") + 1 - c2, F.col("p2") + F.col("ra") + 1 - c2)
+    return pairs.filter(seen <= most).select("a", "b")
+
+
+def _bucket_pairs(dense: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(buckets, pairs): (g, u), and (a, b) with a <= b, buckets that share a hot token and whose sizes allow a link."""
+    # sizes of two classes apart are too different for a link
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
+    rows = dense.withColumn("u", F.xxhash64("sig", step))
+    buckets = materialize(rows.select("g", "u", "n").distinct(), "buckets")
+    spread = buckets.groupBy("u").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    x = materialize(rows.select("token", "u").distinct().join(spread, "u"), "bucket-tokens")
+    y = x.select("token", F.col("u").alias("b"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    fits = (F.col("least") * percent <= F.col("most2") * 100) & (F.col("least2") * percent <= F.col("most") * 100)
+    pairs = x.withColumnRenamed("u", "a").join(y, "token").filter((F.col("a") <= F.col("b")) & fits).select("a", "b").distinct()
+    return buckets.select("g", "u"), materialize(pairs, "bucket-pairs")
+
+
+def candidates(classes: DataFrame, docs: DataFrame, texts: DataFrame, width: int, percent: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, pairs, wide): (cls, copies, n, g, node), group pairs, and pairs of nodes all of whose classes meet.
+
+    A node is a bucket or a group that isn't dense. Those of several classes are a pair with themselves.
+    """
+    groups = classes.groupBy("hh", "n", "p").agg(F.min("cls").alias("g"), F.count("*").alias("size"))
+    groups = materialize(groups, "groups")
+    heads = groups.select("g", "p", "size").join(docs.select(F.col("key").alias("g"), "n", "head").filter("n > 0"), "g").select("g", "n", "p", "head").dropDuplicates(["g"])
+    rows, dense = _ranked(materialize(heads, "group-heads"), texts, width, hot)
+    pairs = materialize(_group_pairs(rows, percent), "pairs")
+    buckets, wide = _bucket_pairs(dense, percent)
+    node = groups.join(buckets, "g", "left").select("hh", "n", "p", "g", F.coalesce("u", "g").alias("node"))
+    members = materialize(classes.join(node, ["hh", "n", "p"]).select("cls", "copies", "n", "g", "node"), "nodes")
+    alone = members.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    return members, pairs, materialize(wide.union(alone).distinct(), "wide-pairs")
+
+
+def _cell_rows(members: DataFrame, pairs: DataFrame, wide: DataFrame, block: int) -> DataFrame:
+    """(lo, hi, block, cls, copies): the classes that each cell compares."""
+    node_of = members.select("g", "node").distinct()
+    left = pairs.join(node_of.select(F.col("g").alias("a"), F.col("node").alias("na")), "a").join(node_of.select(F.col("g").alias("b"), F.col("node").alias("nb")), "b")
+    # where all classes of two nodes meet anyway, their group pairs are among them
+    left = left.withColumn("lo", F.least("na", "nb")).withColumn("hi", F.greatest("na", "nb")).join(wide.select(F.col("a").alias("lo"), F.col("b").alias("hi")), ["lo", "hi"], "left_anti")
+    narrow = materialize(left.select("a", "b", "na", "nb"), "narrow-pairs")
+    comp = materialize(connected_components(narrow.select(F.col("na").alias("a"), F.col("nb").alias("b")).union(wide)).select("node", F.col("component").alias("c")), "candidates")
+    # long sets count as several classes
+    sizes = members.groupBy("node").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") / LONG_SET)).alias("m"))
+    busy = sizes.join(comp, "node", "left").join(wide.select(F.col("a").alias("node")).union(wide.select(F.col("b").alias("node"))).distinct().withColumn("w", F.lit(True)), "node", "left")
+    busy = busy.filter("c IS NOT NULL OR w").select("node", "m", F.coalesce("c", "node").alias("c"))
+    busy = materialize(busy, "busy-nodes")
+    small = busy.filter(F.col("m") <= block).groupBy("c").agg(F.ceil(F.sum("m") / block).alias("n_blocks"))
+    busy = busy.join(small, "c", "left")
+    parts = F.ceil(F.col("m") / block)
+    shared = F.when(F.col("m") <= block, F.xxhash64("c", F.pmod(F.xxhash64("node"), "n_blocks")))
+    busy = materialize(busy.select("node", shared.alias("shared"), parts.alias("parts")), "node-blocks")
+    own = F.coalesce("shared", F.xxhash64("node", F.lit("part"), F.pmod(F.xxhash64("cls"), "parts")))
+    members = materialize(members.join(busy, "node").select("cls", "copies", "g", "node", own.alias("block")), "members")
+    by_group = materialize(members.select("g", "block").distinct(), "group-blocks")
+    by_node = materialize(members.select("node", "block").distinct(), "blocks-of-nodes")
+    lo, hi = F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")
+    one = narrow.join(by_group.select(F.col("g").alias("a"), F.col("block").alias("x")), "a").join(by_group.select(F.col("g").alias("b"), F.col("block").alias("y")), "b")
+    one = one.select(lo, hi, F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("x").alias("block")), F.struct(F.col("b").alias("g"), F.col("y").alias("block")))).alias("s")).select("lo", "hi", "s.g", "s.block").distinct()
+    all_ = wide.join(by_node.select(F.col("node").alias("a"), F.col("block").alias("x")), "a").join(by_node.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
+    all_ = all_.select(lo, hi, F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("block")), F.struct(F.col("b").alias("node"), F.col("y").alias("block")))).alias("s")).select("lo", "hi", "s.node", "s.block").distinct()
+    rows = members.join(one, ["g", "block"]).select("lo", "hi", "block", "cls", "copies").union(members.join(all_, ["node", "block"]).select("lo", "hi", "block", "cls", "copies"))
+    return materialize(rows.distinct(), "cells")
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, n_similar, component_id): one row per row of df. Ids are whole numbers."""
     ship(df.sparkSession)
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    head_schema = "id long, n long, p long, k1 long, k2 long, hh long, head array<long>"
-    docs = materialize(texts.mapInArrow(_heads(width, percent), head_schema), "heads")
-    classes = docs.filter("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("cls"), F.count("*").alias("copies"), F.min("hh").alias("hh"), F.min("p").alias("p"))
+    texts = _keyed(df, id_col, text_col)
+    docs = materialize(texts.mapInArrow(_heads(width, percent), "key long, n long, p long, k1 long, k2 long, hh long, head array<long>"), "heads")
+    classes = docs.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("key").alias("cls"), F.count("*").alias("copies"), F.min("hh").alias("hh"), F.min("p").alias("p"))
     classes = materialize(classes, "classes")
-    groups = classes.groupBy("hh", "n", "p").agg(F.min("cls").alias("g"), F.count("*").alias("size"))
-    groups = materialize(groups, "groups")
-    heads = groups.select("g", "n", "p").join(docs.select(F.col("id").alias("g"), "head", F.col("n").alias("_n")).filter("_n > 0"), "g").select("g", "n", "p", "head").dropDuplicates(["g"])
-    rows = heads.select("g", "n", "p", F.size("head").alias("h"), F.posexplode("head").alias("rank", "token"))
-    common = materialize(rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token", (F.col("df") > hot).alias("hot")), "tokens")
-    rows = materialize(rows.join(common, "token"), "prefix-rows")
-    hots = rows.filter("hot").groupBy("g").agg(F.array_sort(F.collect_list("rank")).alias("hots"))  # at most a head
-    rows = rows.join(hots, "g", "left").withColumn("hots", F.coalesce("hots", F.array().cast("array<int>")))
-    before = F.size(F.filter("hots", lambda x: x < F.col("rank")))
-    rows = rows.select("token", "g", "n", "p", "rank", "hot", before.alias("n_hot_before"), (F.col("h") - F.size("hots") < F.col("p")).alias("dense"))
-    rows = materialize(rows, "ranked-rows")
-    pairs = materialize(_group_pairs(rows, percent), "pairs")
-    comp = connected_components(pairs).select(F.col("node").alias("g"), F.col("component").alias("c"))
-    comp = materialize(comp, "candidates")
-
-    # the classes that have a partner: those of groups in a pair, and of groups of several classes
-    member = classes.join(groups.select("hh", "n", "p", "g", "size"), ["hh", "n", "p"]).select("cls", "copies", "g", "size")
-    member = member.join(comp, "g", "left").filter("c is not null or size > 1").select("cls", "copies", F.coalesce("c", "g").alias("c"))
-    member = materialize(member, "members")
-    blocks = member.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    member = member.join(blocks, "c").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+    cells = _cell_rows(*candidates(classes, docs, texts, width, percent, hot), block)
     # texts stay where they are while the list of classes is small
-    sets = texts.join(sized(member.select(F.col("cls").alias("id"), "cls", "copies", "c", "nb", "block")), "id")
-    sets = sets.select("text", "cls", "copies", "c", "nb", "block").mapInArrow(_sets(width), "cls long, copies long, c long, nb int, block int, tokens array<long>")
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
-    cells = sets.select("*", other).select("c", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "cls", "copies", "tokens")
-    cells = cells.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "cls")
-    links = materialize(cells.mapInArrow(_cells(percent), "cls long, links long, root long"), "links")
+    busy = materialize(cells.select("cls").distinct(), "busy-classes")
+    sets = texts.join(sized(busy), texts["key"] == F.col("cls")).select("cls", "text").mapInArrow(_sets(width), "cls long, tokens array<long>")
+    met = sets.join(sized(cells), "cls").select("lo", "hi", "block", "cls", "copies", "tokens")
+    met = met.repartition("lo", "hi").sortWithinPartitions("lo", "hi", "cls")
+    links = materialize(met.mapInArrow(_cells(percent), "cls long, links long, root long"), "links")
     by_class = links.groupBy("cls").agg(F.sum("links").alias("links"))
     comps = connected_components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     result = classes.select("k1", "k2", "n", "cls", "copies").join(by_class, "cls", "left").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
     result = materialize(result.select("k1", "k2", F.col("n").alias("_n"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("component", "cls").alias("component")), "class-results")
-    out = docs.select("id", "n", "k1", "k2").join(result, ["k1", "k2"], "left")
-    linked = (F.col("n") > 0) & F.col("id").isNotNull()
+    out = docs.select("key", "n", "k1", "k2").join(result, ["k1", "k2"], "left")
+    known = lambda c: F.when(c < NO_ID, c)
     return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("n_similar", F.lit(0))).otherwise(0).cast("long").alias("n_similar"),
-        F.when(linked, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"),
+        known(F.col("key")).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("n_similar", F.lit(0))).otherwise(0).cast("long").alias("n_similar"),
+        known(F.when(F.col("n") > 0, F.coalesce("component", "key")).otherwise(F.col("key"))).alias("component_id"),
     )
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, with all columns, whose id is the least of its component. Ids must be unique."""
-    drop = jaccard_join(df, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop"))
-    drop = materialize(drop, "dropped")
-    return df.join(sized(drop), df[id_col] == F.col("_drop"), "left_anti")
-
-
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 

@@ -77,11 +77,59 @@ def test_jaccard(spark, hot, block):
     assert sorted(map(tuple, got.collect())) == slow_jaccard(rows)
 
 
+def near_copies(seed, n):
+    """One cluster: copies of a text, each with a few words changed."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(5000)}" for _ in range(300)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def boilerplate(seed, n):
+    """Texts of which 80 % are a common notice: no links."""
+    r = random.Random(seed)
+    notice = " ".join(f"w{r.randrange(5000)}" for _ in range(240))
+    return [notice + " " + " ".join(f"x{r.randrange(10**6)}" for _ in range(60)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("make", [near_copies, boilerplate, lambda seed, n: near_copies(seed, n // 2) + boilerplate(seed, n // 2)])
+def test_jaccard_large_groups(spark, make):
+    rows = list(enumerate(make(3, 260)))
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, PAIR), hot=20, block=32)
+    assert sorted(map(tuple, got.collect())) == slow_jaccard(rows)
+
+
+def count_candidates(spark, texts):
+    """(rows of candidate pairs, classes sent to cells) of texts with other ids."""
+    df = spark.createDataFrame(list(enumerate(texts)), PAIR)
+    keyed = jaccard._keyed(df, "doc_id", "text")
+    docs = jaccard.materialize(keyed.mapInArrow(jaccard._heads(5, 90), "key long, n long, p long, k1 long, k2 long, hh long, head array<long>"), "heads")
+    classes = docs.groupBy("k1", "k2", "n").agg(F.min("key").alias("cls"), F.count("*").alias("copies"), F.min("hh").alias("hh"), F.min("p").alias("p"))
+    members, pairs, wide = jaccard.candidates(classes, docs, keyed, 5, 90, jaccard.HOT)
+    return pairs.count() + wide.count(), jaccard._cell_rows(members, pairs, wide, jaccard.BLOCK).count()
+
+
+def test_jaccard_candidates_are_few(spark):
+    """A cluster of near copies and texts with a common notice have fewer candidate pairs than texts."""
+    for n in (500, 2000):
+        pairs, sent = count_candidates(spark, near_copies(4, n))
+        assert 0 < pairs < n and sent <= n * (n // jaccard.BLOCK + 6)
+    assert count_candidates(spark, boilerplate(5, 500)) == count_candidates(spark, boilerplate(5, 1500)) == (0, 0)
+
+
 def test_jaccard_odd(spark):
     rows = [(x.doc_id, x.text) for x in odd(spark).select("doc_id", "text").collect()]
     got = jaccard.jaccard_join(odd(spark)).collect()
     assert sorted(tuple(x) for x in got if x.doc_id is not None) == slow_jaccard([x for x in rows if x[0] is not None])
     assert [tuple(x) for x in got if x.doc_id is None] == [(None, 1, 0, None)]
+    nulls = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "A b c d e f"), (None, "q r s"), (None, "q r s"), (None, None), (5, "q")]
+    got = sorted(map(str, jaccard.jaccard_join(spark.createDataFrame(nulls, PAIR)).collect()))
+    assert got == sorted(map(str, spark.createDataFrame([(None, 2, 2, 3), (None, 2, 2, 3), (3, 2, 2, 3), (None, 1, 1, None), (None, 1, 1, None), (None, 0, 0, None), (5, 1, 0, 5)], "doc_id long, n_shingles long, n_similar long, component_id long").collect()))
     kept = jaccard.keep_one(odd(spark))
     assert kept.columns == odd(spark).columns and Counter(x.doc_id for x in kept.collect()) == Counter(x[0] for x in rows)
     assert jaccard.jaccard_join(empty(spark)).count() == 0 and jaccard.keep_one(empty(spark)).count() == 0
