@@ -226,18 +226,33 @@ def _ranked(groups: DataFrame, texts: DataFrame, width: int, hot: int) -> tuple[
         more = texts.join(sized(short), texts["key"] == short["g"]).select("g", "text").mapInArrow(_sets(width), "g long, tokens array<long>").dropDuplicates(["g"])
         longer = groups.select("g", "n", "p").join(more, "g").select("g", "n", "p", F.col("tokens").alias("head"), F.lit(True).alias("whole"))
         heads = materialize(heads.join(sized(short), "g", "left_anti").select("g", "n", "p", "head", "whole").unionByName(longer), "heads")
-    # tokens of heads with a hot one among them are put in order: rare ones by hash, then hot ones, rarer classes first
-    with_hot = rows.join(counts, "token", "left").join(n_hot, "g", "left")
-    plain = with_hot.filter("n_hot IS NULL AND df IS NOT NULL AND rank < p").select("token", "g", "n", "p", F.col("rank").alias("r"))
-    log = F.when(F.col("df") > hot, F.floor(F.log2("df"))).otherwise(0).cast("int")
-    own = with_hot.filter("n_hot IS NOT NULL").groupBy("g", "n", "p").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(log, F.lit(0)).alias("l"), "rank", "token", F.coalesce("df", F.lit(1)).alias("df")))).alias("t"))  # at most a text's own tokens
-    own = own.withColumn("t", F.slice("t", F.lit(1), F.col("p").cast("int"))).withColumn("n_rare", F.size(F.filter("t", lambda x: x["l"] == 0)))
-    own = materialize(own, "ordered-heads")
-    mixed = own.select("g", "n", "p", F.posexplode("t").alias("r", "x")).filter("x.l = 0 AND x.df > 1").select("x.token", "g", "n", "p", "r")
-    rows = materialize(plain.unionByName(mixed), "prefix-rows")
-    sig = F.xxhash64(F.slice(F.filter("t", lambda x: x["l"] > 0)["token"], 1, SIGNATURE))
-    dense = own.filter("n_rare < p").select("g", "n", sig.alias("sig"), F.explode(F.filter("t", lambda x: x["l"] > 0)["token"]).alias("token"))
-    return rows, materialize(dense, "dense-rows")
+    # heads without a hot token are in order as they are; the others are put in order, rare tokens by hash, then hot ones, rarer classes first
+    mixed = materialize(n_hot.select("g"), "groups-with-hot")
+    plain = heads.join(sized(mixed), "g", "left_anti").select("g", "n", "p", F.posexplode(F.slice("head", F.lit(1), F.col("p").cast("int"))).alias("r", "token"))
+    own = rows.join(sized(hots), "token").groupBy("g").agg(F.collect_list(F.struct("rank", F.floor(F.log2("df")).cast("int").alias("l"))).alias("hots"))  # at most a text's own tokens
+    order = "g long, n long, p long, r int, token long, hot boolean, dense boolean, sig long"
+    mixed = materialize(heads.join(sized(mixed), "g", "left_semi").join(own, "g").select("g", "n", "p", "head", "hots.rank", "hots.l").mapInArrow(_order, order), "ordered-heads")
+    rare = plain.unionByName(mixed.filter("not hot").select("g", "n", "p", "r", "token")).join(counts.select("token"), "token")
+    return materialize(rare, "prefix-rows"), mixed.filter("dense and hot").select("g", "n", "sig", "token")
+
+
+def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefixes of heads (g, n, p, head, ranks and classes of its hot tokens) in the common order."""
+    for batch in batches:
+        cols: list[list[np.ndarray]] = [[] for _ in range(8)]
+        g, n, p = (batch.column(i).to_pylist() for i in range(3))
+        for i in range(batch.num_rows):
+            head = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
+            level = np.zeros(len(head), np.int32)
+            level[batch.column(4)[i].values.to_numpy()] = batch.column(5)[i].values.to_numpy()
+            first = np.argsort(level, kind="stable")[: p[i]]
+            hot = level[first] > 0
+            sig = int(tc.mix(head[first[hot][:SIGNATURE]].view(np.uint64) + tc.WORD_MULT[2]).sum())
+            m = len(first)
+            for c, x in zip(cols, (np.full(m, g[i]), np.full(m, n[i]), np.full(m, p[i]), np.arange(m, dtype=np.int32), head[first], hot, np.full(m, hot.any()), np.full(m, sig, np.uint64).view(np.int64))):
+                c.append(x)
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["g", "n", "p", "r", "token", "hot", "dense", "sig"])
 
 
 def _group_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -305,8 +320,7 @@ def _cell_rows(members: DataFrame, pairs: DataFrame, wide: DataFrame, block: int
     busy = materialize(busy.select("node", shared.alias("shared"), parts.alias("parts")), "node-blocks")
     own = F.coalesce("shared", F.xxhash64("node", F.lit("part"), F.pmod(F.xxhash64("cls"), "parts")))
     members = materialize(members.join(busy, "node").select("cls", "copies", "g", "node", own.alias("block")), "members")
-    by_group = materialize(members.select("g", "block").distinct(), "group-blocks")
-    by_node = materialize(members.select("node", "block").distinct(), "blocks-of-nodes")
+    by_group, by_node = members.select("g", "block").distinct(), members.select("node", "block").distinct()
     lo, hi = F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")
     one = narrow.join(by_group.select(F.col("g").alias("a"), F.col("block").alias("x")), "a").join(by_group.select(F.col("g").alias("b"), F.col("block").alias("y")), "b")
     one = one.select(lo, hi, F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("x").alias("block")), F.struct(F.col("b").alias("g"), F.col("y").alias("block")))).alias("s")).select("lo", "hi", "s.g", "s.block").distinct()
@@ -342,6 +356,13 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with all columns, whose id is the least of its component. Ids must be unique."""
+    drop = jaccard_join(df, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop"))
+    drop = materialize(drop, "dropped")
+    return df.join(sized(drop), df[id_col] == F.col("_drop"), "left_anti")
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
