@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,17 +20,22 @@ class Corpus:
     def __init__(self, docs: DataFrame, stop_words: Iterable[str] = (), postings: DataFrame | None = None):
         self.docs, self.stop, self.post = docs, tuple(stop_words), postings
 
-    def build_index(self, path: str) -> Corpus:
-        post = index.postings(index.tokens(self.docs, stop_words=self.stop))
-        index.write_index(post, path, self.docs.select("doc_id", "path", "title"))
-        self.post = index.read_index(self.docs.sparkSession, path)
+    def build_index(self, path: str, reuse: bool = False) -> Corpus:
+        """Writes the index to path, or with reuse takes the one that has been finished there."""
+        spark = self.docs.sparkSession
+        if not (reuse and index.is_complete(spark, path)):
+            post = index.postings(index.tokens(self.docs, stop_words=self.stop))
+            index.write_index(post, path, self.docs.select("doc_id", "path", "title"))
+        self.post = index.read_index(spark, path)
         return self
 
-    def tokens(self, words: Iterable[str] | None = None) -> DataFrame:
-        """Tokens of all documents, or from an index only those words: a filter that reaches its scan."""
-        if self.post is None:
-            return index.tokens(self.docs, stop_words=self.stop)
-        return index.explode_postings(self.post if words is None else self.post.filter(F.col("word").isin(sorted(set(words)))))
+    def postings_of(self, queries: list[tuple[int, str]], whole_words: bool) -> DataFrame:
+        """Postings of the words of the queries, or of what begins with them: a filter that reaches the scan."""
+        groups = [g for _, q in queries for g in search.split_query(q, self.stop)]
+        starts = [] if whole_words else sorted({g[0] for g in groups if len(g) == 1})
+        words = sorted({w for g in groups for w in g if whole_words or len(g) > 1})
+        tests = ([F.col("word").isin(words)] if words else []) + [F.col("word").startswith(p) for p in starts]
+        return self.post.filter(reduce(lambda a, b: a | b, tests)) if tests else self.post.limit(0)
 
     def search(self, query: str, regex: bool = False, whole_words: bool = True, titles_only: bool = False, limit: int = 0) -> DataFrame:
         """Ranked results (doc_id, score, url, topic, rank), or with regex the matching documents."""
@@ -39,12 +45,15 @@ class Corpus:
             return found.orderBy(F.lower("path"), "doc_id").limit(limit) if limit > 0 else found
         return self.search_many([(0, query)], whole_words, titles_only, limit).drop("query_id")
 
+    def search_found(self, queries: list[tuple[int, str]], whole_words: bool = True, titles_only: bool = False) -> DataFrame:
+        """(query_id, doc_id, score)."""
+        if titles_only or self.post is None:
+            return search.match_texts(self.docs, queries, "title" if titles_only else "text", self.stop, not whole_words)
+        terms = search.query_terms(self.docs.sparkSession, queries, self.stop, prefix=not whole_words)
+        return search.match_index(self.postings_of(queries, whole_words), terms)
+
     def search_many(self, queries: list[tuple[int, str]], whole_words: bool = True, titles_only: bool = False, limit: int = 0) -> DataFrame:
-        spark = self.docs.sparkSession
-        terms = search.query_terms(spark, queries, self.stop, prefix=not whole_words)
-        words = [w for _, q in queries for g in search.split_query(q, self.stop) for w in g]
-        tok = index.tokens(self.docs, "title", self.stop) if titles_only else self.tokens(words if whole_words else None)
-        found = search.rank(search.match(tok, terms, not whole_words), limit)
+        found = search.rank(self.search_found(queries, whole_words, titles_only), limit)
         return search.with_titles(found, self.docs).select("query_id", "doc_id", "score", F.col("path").alias("url"), "topic", "rank")
 
 
@@ -104,22 +113,42 @@ class Archives:
 
     def search_index(self, query: str, whole_words: bool = False, titles_only: bool = False, limit: int = 0) -> DataFrame:
         """Search in the archives' own word index: words match by their beginnings unless whole_words or in a phrase."""
-        fts = self._table("fts")
-        if titles_only:
-            fts = fts.filter("context = 1")
+        return self._numbered(self._match_own(query, whole_words, titles_only), limit)
+
+    def _match_own(self, query: str, whole_words: bool, titles_only: bool) -> DataFrame:
+        """(archive_id, url, topic, score). The words of the query are pushed to the reader, which goes down each index to them."""
+        groups = search.split_query(query, word_chars="")
+        test = [F.col("word") == w if whole_words or len(g) > 1 else F.col("word").startswith(w) for g in groups for w in dict.fromkeys(g)]
+        # a table per word, as each filter is taken by its reader, and one reader takes but one
+        parts = [self._table("fts").filter(t) for t in test]
+        fts = reduce(lambda a, b: a.unionByName(b), parts).dropDuplicates(["archive_id", "word", "context", "doc_id"]) if parts else self._table("fts").limit(0)
+        fts = fts.filter("context = 1") if titles_only else fts
         terms = search.query_terms(self.spark, [(0, query)], word_chars="", prefix=not whole_words)
         key = F.struct("archive_id", "url")
         # positions of body and title are kept apart, as both count from 0
-        tok = fts.select(key.alias("doc_id"), F.explode(F.transform("positions", lambda p: p.cast("long") + F.col("context").cast("long") * (1 << 32))).alias("pos"), "word")
-        found = search.rank(search.match(tok, terms, not whole_words), limit)
+        places = F.transform("positions", lambda p: p.cast("long") + F.col("context").cast("long") * (1 << 32))
+        found = search.match_index(fts.select("word", key.alias("doc_id"), places.alias("positions")), terms)
         names = fts.groupBy(key.alias("doc_id")).agg(F.max("title").alias("topic"))
-        return found.join(names, "doc_id").select("doc_id.archive_id", "doc_id.url", "topic", "score", "rank")
+        return found.join(names, "doc_id").select("doc_id.archive_id", "doc_id.url", "topic", "score")
+
+    def _numbered(self, found: DataFrame, limit: int) -> DataFrame:
+        ranked = search.rank(found.select(F.lit(0).cast("long").alias("query_id"), F.struct("archive_id", "url", "topic").alias("doc_id"), "score"), limit)
+        return ranked.select("doc_id.archive_id", "doc_id.url", "doc_id.topic", "score", "rank")
+
+    def corpus(self, docs: DataFrame | None = None) -> Corpus:
+        """The text files of all archives; a document's id is its archive with its number there."""
+        docs = self.documents() if docs is None else docs
+        return Corpus(docs.withColumn("doc_id", F.struct("archive_id", "doc_id")))
 
     def search(self, query: str, regex: bool = False, whole_words: bool = False, titles_only: bool = False, limit: int = 300) -> DataFrame:
-        """By regular expressions over all USER objects if asked for, else in the archives' own index where they have one, else over their texts."""
-        if not regex and not self.info().filter("has_index").isEmpty():
-            return self.search_index(query, whole_words, titles_only, limit)
-        return Corpus(self._user_objects() if regex else self.documents()).search(query, regex=regex, limit=limit)
+        """(archive_id, url, topic, score, rank): in the own index of the archives that have one, over the texts of the others. By regular expressions, if asked for, the matching ones of all USER objects."""
+        if regex:
+            return Corpus(self._user_objects()).search(query, regex=True, limit=limit)
+        without = self.info().filter("not has_index").select("archive_id")
+        texts = self.corpus(self.documents().join(without, "archive_id", "left_semi"))
+        found = texts.search_found([(0, query)], whole_words, titles_only)
+        found = search.with_titles(found, texts.docs).select("doc_id.archive_id", F.col("path").alias("url"), "topic", "score")
+        return self._numbered(self._match_own(query, whole_words, titles_only).unionByName(found), limit)
 
     def extract(self, target: str) -> DataFrame:
         return sinks.extract(self.objects(), target)

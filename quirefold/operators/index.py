@@ -41,6 +41,12 @@ def write_index(post: DataFrame, path: str, docs: DataFrame | None = None) -> No
         docs.write.mode("overwrite").parquet(f"{path}/docs")
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether an index has been written there to the end: its writer marks that last."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/docs/_SUCCESS")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/postings")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +12,19 @@ from quirefold.common import ship
 from quirefold.operators.units import type_label
 
 
-def search_json(ranked: DataFrame) -> DataFrame:
-    """(query_id, json): {"ok": true, "results": [[url, topic], ...]} in order of rank. ranked: a page of results of each query."""
-    pair = F.array("path", "topic")
-    rows = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", pair.alias("r")))).alias("rows"))
-    return rows.select("query_id", F.to_json(F.struct(F.lit(True).alias("ok"), F.transform("rows", lambda x: x["r"]).alias("results"))).alias("json"))
+NO_RESULTS = '{"ok":false}'
 
 
-NO_RESULTS = '{"ok":false}'
+def search_json(ranked: DataFrame, query_ids: Iterable[int] = ()) -> DataFrame:
+    """(query_id, json): {"ok": true, "results": [[url, topic], ...]} in order of rank, or NO_RESULTS for those of query_ids that found nothing. ranked: a page of results of each query."""
+    pair = F.array("path", "topic")
+    rows = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", pair.alias("r")))).alias("rows"))
+    found = rows.select("query_id", F.to_json(F.struct(F.lit(True).alias("ok"), F.transform("rows", lambda x: x["r"]).alias("results"))).alias("json"))
+    asked = sorted(set(query_ids))
+    if not asked:
+        return found
+    ids = ranked.sparkSession.createDataFrame([(q,) for q in asked], "query_id long")
+    return ids.join(found, "query_id", "left").select("query_id", F.coalesce("json", F.lit(NO_RESULTS)).alias("json"))
 
 
 def info_json(archives: DataFrame, build_step: int | None = None) -> DataFrame:

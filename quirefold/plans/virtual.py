@@ -21,17 +21,26 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, path, title, text) of documents."""
-    path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("-")), F.lit("/"), F.coalesce("lang", F.lit("-")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.lit(None).cast("string").alias("title"), "text")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, path, title, text) of the turns of conversations."""
-    path = F.concat(F.lit("/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit("-"), "role", F.lit(".txt"))
+    path = F.concat(F.lit("/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit("-"), F.coalesce("role", F.lit("")), F.lit(".txt"))
     return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), path.alias("path"), F.lit(None).cast("string").alias("title"), "text")
 
 
-def units(docs: DataFrame, name: str = "units") -> DataFrame:
-    """(ord, doc_id, path, path_key, length, flags) in directory order, which is that of lower-cased paths."""
+def units(docs: DataFrame, name: str = "units", under: str = "") -> DataFrame:
+    """(ord, doc_id, path, path_key, length, flags) in directory order, which is that of lower-cased paths.
+
+    With `under` only the paths that begin with it, whatever the case: they lie side by side in the order, so that they alone are sorted and
+    the others before them are counted.
+    """
     rows = docs.select("doc_id", "path", F.lower("path").alias("path_key"), F.octet_length("text").cast("long").alias("length"), unit_flags(F.col("path")).alias("flags"))
-    return with_row_numbers(rows, name, F.col("path_key"), F.col("doc_id"), column="ord")
+    if not under:
+        return with_row_numbers(rows, name, F.col("path_key"), F.col("doc_id"), column="ord")
+    key = under.lower()
+    before = rows.filter((F.col("path_key") < key) | F.col("path_key").isNull()).count()
+    inside = with_row_numbers(rows.filter(F.col("path_key").startswith(key)), name, F.col("path_key"), F.col("doc_id"), column="ord")
+    return inside.withColumn("ord", F.col("ord") + before)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import lexer, scalars
 from quirefold.operators import index, regex_search, search, sinks, trees, units
-from quirefold.plans import virtual
+from quirefold.plans import archives, virtual
 from quirefold.sources.charsets import CHARSETS, DEFAULT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,8 +22,8 @@ STOP = ("the", "and", "of", "in")
 _U = r"^[A-Za-z]+://([^/?#]*)([^?#]*)"
 _DOCS = {
     "pages": f"SELECT page_id AS doc_id, '/' || regexp_extract(url, '{_U}', 1) || regexp_extract(url, '{_U}', 2) AS path, nullif(regexp_extract(html, '<title>([^<]*)', 1), '') AS title, html AS text FROM pages",
-    "documents": "SELECT doc_id, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, NULL::VARCHAR AS title, text FROM documents",
-    "conversations": "SELECT conv_id * 1000 + turn AS doc_id, '/' || conv_id || '/' || turn || '-' || role || '.txt' AS path, NULL::VARCHAR AS title, text FROM conversations",
+    "documents": "SELECT doc_id, '/' || coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || doc_id || '.txt' AS path, NULL::VARCHAR AS title, text FROM documents",
+    "conversations": "SELECT conv_id * 1000 + turn AS doc_id, '/' || conv_id || '/' || turn || '-' || coalesce(role, '') || '.txt' AS path, NULL::VARCHAR AS title, text FROM conversations",
 }
 _VIEWS = {"pages": virtual.pages, "documents": virtual.documents, "conversations": virtual.conversations}
 
@@ -96,8 +96,7 @@ def _search_sql(table: str, queries: list[tuple[int, str]], stop: tuple[str, ...
 
 
 def run_search(spark: SparkSession, docs: DataFrame, queries: list[tuple[int, str]], stop: tuple[str, ...] = (), prefix: bool = False, limit: int = 0, text: str = "text") -> DataFrame:
-    terms = search.query_terms(spark, queries, stop, prefix=prefix)
-    found = search.rank(search.match(index.tokens(docs, text, stop), terms, prefix), limit)
+    found = search.rank(search.match_texts(docs, queries, text, stop, prefix), limit)
     return search.with_titles(found, docs).select("query_id", "doc_id", "score", F.col("path").alias("url"), "topic", "rank")
 
 
@@ -132,7 +131,7 @@ _BENCH_WORDS = 5
     SELECT item_id AS query_id, doc_id, count(*) AS score FROM a GROUP BY 1, 2""",
 )
 def search_benchmark_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    """Each benchmark passage, whole, as a phrase: a batch of queries from a table. The SQL above takes the first words only, so it has further rows."""
+    """Each benchmark passage, whole, as a phrase: a batch of queries from a table."""
     passages = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), lexer.words(F.col("text")).alias("words"))
     return search.match_passages(virtual.documents(spark, sf), passages)
 
@@ -212,17 +211,17 @@ def _dir_sql(table: str, prefix: str) -> str:
 
 @_add("enumerate_dir", f"WITH {_dir_sql('documents', '/src0/')} SELECT ord, path, length, flags FROM c WHERE flags & 1 <> 0 AND flags & 24 <> 0")
 def enumerate_dir(spark: SparkSession, sf: str) -> DataFrame:
-    return units.enumerate_dir(virtual.units(virtual.documents(spark, sf)), "/src0")
+    return units.enumerate_dir(virtual.units(virtual.documents(spark, sf), under="/src0/"), "/src0")
 
 
 @_add("directory_listing", f"WITH {_dir_sql('documents', '/src1/en/')} SELECT ord, path AS href, substr(path, 10) AS name, CASE WHEN length > 0 THEN length ELSE -1 END AS size, length <= 0 AS is_dir FROM c UNION ALL SELECT -1, '/src1/', '..', -1, true")
 def directory_listing(spark: SparkSession, sf: str) -> DataFrame:
-    return units.directory_listing(virtual.units(virtual.documents(spark, sf)), "/src1/en").fillna(-1, ["size"])
+    return units.directory_listing(virtual.units(virtual.documents(spark, sf), under="/src1/en/"), "/src1/en").fillna(-1, ["size"])
 
 
 @_add("resolve_object", f"WITH {_units_sql('documents')} SELECT ord, doc_id, path, path_key, length, flags FROM u WHERE path_key = '/src1/en/1.txt'")
 def resolve_object(spark: SparkSession, sf: str) -> DataFrame:
-    return units.resolve(virtual.units(virtual.documents(spark, sf)), "/SRC1/En/1.TXT").select("ord", "doc_id", "path", "path_key", "length", "flags")
+    return units.resolve(virtual.units(virtual.documents(spark, sf), under="/SRC1/En/1.TXT"), "/SRC1/En/1.TXT").select("ord", "doc_id", "path", "path_key", "length", "flags")
 
 
 @_add("object_slice", "SELECT page_id AS doc_id, CASE WHEN strlen(html) > 100 THEN lower(hex(encode(html)[101:150])) END AS part FROM pages")
@@ -306,3 +305,23 @@ def encoding_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def highlight(spark: SparkSession, sf: str) -> DataFrame:
     d = virtual.documents(spark, sf).filter("text IS NOT NULL")
     return d.select("doc_id", F.md5(scalars.highlight(F.col("text"), '"anea eriner" thing')).alias("marked"))
+
+
+_PAGE = f"""p AS (SELECT doc_id // {archives.BIN} AS book, doc_id, '/' || doc_id || path AS path, coalesce(title, '/' || doc_id || path) AS topic, title, coalesce(text, '') AS text, string_split(path, '/')[2] AS host FROM ({_DOCS['pages']}))"""
+_WORDS = "w AS (SELECT book, path, topic, unnest(x) AS word, unnest(range(len(x))) AS pos FROM (SELECT *, regexp_extract_all(lower(topic), '[a-z0-9]+') AS x FROM p))"
+_SQL_OF_ARCHIVES = {
+    "archive_units": (archives.entries, f"WITH {_PAGE} SELECT book, path, strlen(text)::BIGINT AS length, CASE WHEN path LIKE '%/' THEN 17 ELSE 9 END::INT AS flags FROM p"),
+    "archive_objects": (archives.objects, f"WITH {_PAGE} SELECT book, path, md5(text) AS digest, md5(text) AS text_digest FROM p"),
+    "archive_info": (archives.info, f"WITH {_PAGE} SELECT book, 'Book ' || book AS title, arg_min(path, host || '/' || path) AS home_file, 'UTF-8' AS encoding, 'quirefold' AS generator, true AS has_index FROM p GROUP BY 1"),
+    "archive_topics": (archives.topics, f"WITH {_PAGE} SELECT book, path, topic, host AS chapter, row_number() OVER (PARTITION BY book, host ORDER BY path) - 1 AS place FROM p"),
+    "archive_postings": (archives.postings, f"WITH {_PAGE}, {_WORDS} SELECT book, word, 1 AS context, path AS url, topic, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM w GROUP BY ALL"),
+}
+for _name, (_run, _sql) in _SQL_OF_ARCHIVES.items():
+    _add(_name, _sql)(_run)
+
+
+@_add("archive_search", f"""WITH {_PAGE}, {_WORDS}, m AS (SELECT book, path, topic, sum((starts_with(word, 'th'))::INT)::BIGINT AS a, sum((starts_with(word, 'a'))::INT)::BIGINT AS b FROM w GROUP BY ALL)
+    SELECT book, path AS url, topic, a + b AS score FROM m WHERE a > 0 AND b > 0""")
+def archive_search(spark: SparkSession, sf: str) -> DataFrame:
+    """All archives' own indexes at once: words by their beginnings."""
+    return archives.search(spark, sf, "th a")

@@ -52,10 +52,22 @@ def charset_of(lcid: int) -> str:
 _ALIAS = {"GB2313": "gb2312", "EUCKR": "euc_kr", "TIS-620": "tis_620", "SHIFT-JIS": "shift_jis"}
 
 
-def decode(data: bytes, charset: str) -> str:
-    """Unknown character sets are read as UTF-8; bytes that don't fit become U+FFFD."""
+def _codec(charset: str) -> str:
+    """Unknown character sets are read as UTF-8."""
     try:
-        name = codecs.lookup(_ALIAS.get(charset.upper(), charset)).name
+        return codecs.lookup(_ALIAS.get(charset.upper(), charset)).name
     except LookupError:
-        name = "utf-8"
-    return data.decode(name, "replace")
+        return "utf-8"
+
+
+def decode(data: bytes, charset: str) -> str:
+    """Bytes that don't fit become U+FFFD."""
+    return data.decode(_codec(charset), "replace")
+
+
+def encode(text: str, charset: str) -> bytes | None:
+    """The bytes that are read as this text; None if there are none."""
+    try:
+        return text.encode(_codec(charset))
+    except UnicodeEncodeError:
+        return None

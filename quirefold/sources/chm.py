@@ -8,7 +8,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
-from quirefold.sources.charsets import DEFAULT, charset_of, decode
+from quirefold.sources.charsets import DEFAULT, charset_of, decode, encode
 from quirefold.sources.lzx import Inflator, LzxError
 
 RESET_TABLE = "::dataspace/storage/mscompressed/transform/{7fc28940-9d31-11d0-9b27-00a0c91e9c7c}/instancedata/resettable"
@@ -272,9 +272,30 @@ class WordIndex:
             at = struct.unpack_from("<I", node, 4 + n - 1)[0]
         return at
 
-    def entries(self) -> Iterator[tuple[str, int, int, int, int]]:
-        """(word, context, documents, where their list is, its size), leaf by leaf."""
-        at, seen = self._first_leaf() if self.usable else 0, set()
+    def _leaf_of(self, wanted: bytes) -> int:
+        """The leaf in which `wanted`, or the first word after it, stands: an entry of an upper node names the last word of its child. 0 if all words are smaller."""
+        at = self.root
+        for _ in range(self.depth - 1):
+            node = self.a.content(self.main, at, self.node_len)
+            if node is None:
+                return 0
+            end = self.node_len - struct.unpack_from("<H", node, 0)[0]
+            p, word, child = 2, b"", 0
+            while p < end and not child:
+                n, keep = node[p], node[p + 1]
+                word = word[:keep] + node[p + 2 : p + 1 + n]
+                if word >= wanted:
+                    child = struct.unpack_from("<I", node, p + 1 + n)[0]
+                p += n + 7
+            if not child:
+                return 0
+            at = child
+        return at
+
+    def entries(self, start: str | None = None, whole: bool = False) -> Iterator[tuple[str, int, int, int, int]]:
+        """(word, context, documents, where their list is, its size), leaf by leaf; with `start` only of that word, or of what begins with it: the tree is gone down to it and left behind the last."""
+        wanted = encode(start, self.a.encoding) if start else None
+        at, seen = (self._first_leaf() if wanted is None else self._leaf_of(wanted)) if self.usable else 0, set()
         while at and at not in seen:
             seen.add(at)
             node = self.a.content(self.main, at, self.node_len)
@@ -290,7 +311,10 @@ class WordIndex:
                 count, p = encint(node, p + 1)
                 where = struct.unpack_from("<I", node, p)[0]
                 size, p = encint(node, p + 6)
-                yield decode(word, self.a.encoding), context, count, where, size
+                if wanted is None or word == wanted or (not whole and word.startswith(wanted)):
+                    yield decode(word, self.a.encoding), context, count, where, size
+                elif word > wanted:
+                    return
 
     def documents(self, count: int, where: int, size: int) -> Iterator[tuple[int, list[int]]]:
         """(number, positions) of each document in a list."""
@@ -322,8 +346,8 @@ class WordIndex:
         topic = c_string(title, self.a.encoding) if title else ""
         return ("/" + url_text, topic or url_text) if url_text else None
 
-    def postings(self) -> Iterator[tuple[str, int, int, list[int]]]:
-        for word, context, count, where, size in self.entries():
+    def postings(self, start: str | None = None, whole: bool = False) -> Iterator[tuple[str, int, int, list[int]]]:
+        for word, context, count, where, size in self.entries(start, whole):
             for doc, places in self.documents(count, where, size):
                 yield word, context, doc, places
 

@@ -1,7 +1,8 @@
 """The data source "chm": tables of help archives, one partition per file.
 
 Options: path (a file, a folder or a pattern) and what: archives, units, objects, topics or fts. Filters on the
-path of a unit and on its flags are taken by the source, so that objects that aren't asked for are not decoded.
+path of a unit and on its flags are taken by the source, so that objects that aren't asked for are not decoded, and
+so are those on the word of a posting, for which the tree of words is gone down.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ class ChmReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if self.what in ("units", "objects") and column in ("path", "path_key", "flags"):
+            if (self.what in ("units", "objects") and column in ("path", "path_key", "flags")) or (self.what == "fts" and column == "word"):
                 if isinstance(f, EqualTo):
                     self.tests.append((column, "in", (f.value,)))
                     continue
@@ -59,6 +60,17 @@ class ChmReader(DataSourceReader):
         have = {"path": path, "path_key": path.lower(), "flags": flags}
         return all(have[c] in v if kind == "in" else have[c].startswith(v) for c, kind, v in self.tests)
 
+    def _postings(self, index: WordIndex) -> Iterator[tuple[str, int, int, list[int]]]:
+        """All postings, or those that the filters on the word ask for, by going down to them."""
+        if not self.tests:
+            yield from index.postings()
+            return
+        _, kind, values = self.tests[0]
+        for v in dict.fromkeys(v for v in values if v is not None):
+            for row in index.postings(v, kind == "in"):
+                if all(row[0] in o if k == "in" else row[0].startswith(o[0]) for _, k, o in self.tests):
+                    yield row
+
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         name = os.path.abspath(partition.value)
         with Archive(name) as a:
@@ -78,7 +90,7 @@ class ChmReader(DataSourceReader):
                     yield name, *row
             elif self.what == "fts":
                 index, topics = WordIndex(a), {}
-                for word, context, doc, places in index.postings():
+                for word, context, doc, places in self._postings(index):
                     if doc not in topics:
                         topics[doc] = index.topic(doc)
                     if topics[doc]:
@@ -100,7 +112,7 @@ class ChmDataSource(DataSource):
 
 
 def read_chm(spark: SparkSession, path: str, what: str = "units") -> DataFrame:
-    """A table of the archives at path, which the executors must be able to open."""
+    """A table of the archives at path, which the executors must be able to open. Filters stay with the reader, so a table is for one set of them: open another for a query that unites or joins differently filtered parts."""
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ChmDataSource)

@@ -1,4 +1,4 @@
-"""A writer of small help archives for tests: stored objects, LZX blocks of all types, metadata, word index."""
+"""A writer of help archives: stored objects, LZX blocks of all types, metadata, word index (two levels of nodes)."""
 
 import struct
 
@@ -57,6 +57,8 @@ while len(EXTRA) < 51:
 BASE = [0]
 for _x in EXTRA[:50]:
     BASE.append(BASE[-1] + (1 << _x))
+#: Matches reach back less than the decoder's window of 0x8000.
+WINDOW = 0x7F00
 MAIN = 256 + 8 * 30
 LENGTHS_MAIN = [8] * 16 + [9] * (MAIN - 16)
 LENGTHS_LEN = [7] * 7 + [8] * 242
@@ -115,10 +117,12 @@ class Encoder:
     def _body(self, w, data, kind):
         main, length, aligned = codes_of(LENGTHS_MAIN), codes_of(LENGTHS_LEN), codes_of(ALIGNED)
         all_, start, i = self.done + data, len(self.done), 0
+        seen: dict[bytes, int] = {bytes(all_[j : j + 3]): j for j in range(max(0, start - WINDOW), start - 2)}
         while i < len(data):
             at = start + i
             best, where = 0, 0
-            for back in self.recent + list(range(1, min(at, 400) + 1)):
+            last = seen.get(bytes(all_[at : at + 3]))
+            for back in [*self.recent, *([] if last is None or at - last > WINDOW else [at - last])]:
                 if back > at:
                     continue
                 n = 0
@@ -126,6 +130,8 @@ class Encoder:
                     n += 1
                 if n > best:
                     best, where = n, back
+            for j in range(at, at + max(best if best >= 3 else 1, 1)):
+                seen[bytes(all_[j : j + 3])] = j
             if best < 3:
                 w.put(*main[data[i]])
                 i += 1
@@ -232,7 +238,7 @@ class ByteBits:
         return bytes(int("".join(map(str, self.bits[i : i + 8])), 2) for i in range(0, len(self.bits), 8))
 
 
-def word_index(postings, topics, leaf_words=2, roots=(2, 1, 3), node=256):
+def word_index(postings, topics, leaf_words=2, roots=(2, 1, 3), node=256, encoding="latin-1"):
     """Objects of a word index. postings: {(word, context): {doc: [positions]}}; topics: (url, title) by document."""
     head, lists = bytearray(0x400), b""
     entries = []
@@ -256,7 +262,7 @@ def word_index(postings, topics, leaf_words=2, roots=(2, 1, 3), node=256):
     for i, leaf in enumerate(leaves):
         body, last = b"", b""
         for word, context, count, where, raw in leaf:
-            w = word.encode("latin-1")
+            w = word.encode(encoding)
             keep = 0
             while keep < min(len(w), len(last)) and w[keep] == last[keep]:
                 keep += 1
@@ -277,9 +283,9 @@ def word_index(postings, topics, leaf_words=2, roots=(2, 1, 3), node=256):
     strings, url_str, url_tbl, topic = b"\0", b"", b"", b""
     for url, title in topics:
         t_at = len(strings)
-        strings += title.encode("latin-1") + b"\0"
+        strings += title.encode(encoding) + b"\0"
         u_at = len(url_str)
-        url_str += struct.pack("<II", 0, 0) + url.encode("latin-1") + b"\0"
+        url_str += struct.pack("<II", 0, 0) + url.encode(encoding) + b"\0"
         topic += struct.pack("<IiiI", 0, t_at, len(url_tbl), 0)
         url_tbl += struct.pack("<IIi", 0, 0, u_at)
     return [("/$FIftiMain", bytes(head) + lists + blob), ("/#TOPICS", topic), ("/#STRINGS", strings), ("/#URLTBL", url_tbl), ("/#URLSTR", url_str)]

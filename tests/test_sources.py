@@ -5,9 +5,9 @@ import pytest
 
 from quirefold.engine import Archives, Corpus
 from quirefold.sources.charsets import charset_of, decode
-from quirefold.sources.chm import Archive, ByteBits, ChmError, encint, parse_contents
+from quirefold.sources.chm import Archive, ByteBits, ChmError, WordIndex, encint, parse_contents
 from quirefold.sources.lzx import Inflator
-from tests import chm_writer as w
+from quirefold.sources import writer as w
 
 TOC = b"""<HTML><!-- x --><UL><LI><OBJECT type="text/sitemap"><param name="Name" value="One"><param name="Local" value="./a.html"></OBJECT>
 <UL><LI><OBJECT type="text/sitemap"><param name="Name" value="Two"><param name="Local" value="sub/b.html"></OBJECT></UL>
@@ -122,6 +122,40 @@ def test_word_index(spark, tmp_path, leaf_words):
     assert [r.rank for r in a.search("alpha").collect()] == [1, 2, 3]
 
 
+def test_word_index_descent(tmp_path):
+    """A word, a beginning: the same as a filter on all postings, with few nodes read."""
+    words = [f"{a}{b}{c}" for a in "bdf" for b in "aeio" for c in ("", "x", "xy", "z")]
+    path = str(tmp_path / "d.chm")
+    w.write_chm(path, [("/#SYSTEM", SYSTEM), *w.word_index({(x, c): {0: [1], c + 1: [2]} for x in words for c in (0, 1)}, TOPICS, 4, node=1024)])
+    with Archive(path) as archive:
+        index = WordIndex(archive)
+        every = list(index.postings())
+        assert len(every) == 4 * len(words)
+        read, own = [], archive.content
+        archive.content = lambda unit, at=0, n=None: (read.append(at), own(unit, at, n))[1] if unit is index.main and n == index.node_len else own(unit, at, n)
+        for start in [*words, "a", "b", "ba", "bb", "c", "dx", "fo", "foxyz", "g", "漢"]:
+            for whole in (False, True):
+                read.clear()
+                got = list(index.postings(start, whole))
+                assert start == "漢" or got == [x for x in every if x[0] == start or (not whole and x[0].startswith(start))], start
+                assert start in "b漢" or len(read) <= 6
+
+
+def test_several_archives(spark, tmp_path):
+    """Documents of different archives are kept apart, and archives with and without an own index are searched together."""
+    for name, body in (("a", b"alpha one"), ("b", b"beta two beta"), ("c", b"alpha and beta gamma")):
+        w.write_chm(str(tmp_path / f"{name}.chm"), [("/", b""), ("/#SYSTEM", SYSTEM), ("/x.html", body), ("/toc.hhc", TOC)])
+    w.write_chm(str(tmp_path / "own.chm"), [("/#SYSTEM", SYSTEM), *w.word_index(POSTINGS, TOPICS, 2)])
+    a = Archives(spark, str(tmp_path))
+    hit = lambda *x, **k: [(os.path.basename(r.archive_id)[:-4], r.url, r.score, r.rank) for r in a.search(*x, **k).collect()]
+    key = lambda r: r[3]
+    assert sorted(hit("alpha beta"), key=key) == [("own", "/a.html", 3, 1), ("c", "/x.html", 2, 2), ("own", "/c.html", 2, 3)]
+    assert {r[:3] for r in hit("beta", whole_words=True)} == {("b", "/x.html", 2), ("c", "/x.html", 1), ("own", "/a.html", 1), ("own", "/c.html", 1)}
+    assert {r[:3] for r in hit("gam")} == {("c", "/x.html", 1), ("own", "/c.html", 1)} and hit("gam", whole_words=True) == hit("alpha two") == []
+    assert [r[3] for r in hit("alpha", limit=2)] == [1, 2] and {r[3] for r in hit("alpha", limit=0)} == {1, 2, 3, 4, 5}
+    assert hit("alpha", titles_only=True, whole_words=True) == [("own", "/b.html", 1, 1)]
+
+
 def test_data_source(spark, tmp_path):
     body = pages()
     for i in range(2):
