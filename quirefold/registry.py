@@ -120,14 +120,11 @@ for _name, (_table, _query, _more) in _SEARCHES.items():
 _BATCH = list(enumerate(["anea eriner", '"anea eriner"', "the anea", '"the anea"', "and-attion", "für", "was of", '"in the"', "tete", "con de", '"de la"', "und der", "x y z"]))
 _add("search_batch", _search_sql("documents", _BATCH))(lambda spark, sf: run_search(spark, virtual.documents(spark, sf), _BATCH))
 
-_BENCH_WORDS = 5
-
-
 @_add(
     "search_benchmark_phrases",
-    f"""WITH {_tokens_sql('documents')}, q AS (SELECT item_id, w[1:{_BENCH_WORDS}] AS w FROM (SELECT item_id, {lexer.sql_words('text')} AS w FROM benchmark)),
+    f"""WITH {_tokens_sql('documents')}, q AS (SELECT item_id, {lexer.sql_words('text')} AS w FROM benchmark),
     terms AS (SELECT item_id, unnest(w) AS term, unnest(range(len(w))) AS off, len(w) AS n FROM q),
-    a AS (SELECT item_id, doc_id, pos - off AS p0 FROM t JOIN terms ON word = term WHERE length(word) <= 16 GROUP BY item_id, doc_id, pos - off, n HAVING count(DISTINCT off) = n)
+    a AS (SELECT item_id, doc_id, pos - off AS p0 FROM t JOIN terms ON word = term GROUP BY item_id, doc_id, pos - off, n HAVING count(DISTINCT off) = n)
     SELECT item_id AS query_id, doc_id, count(*) AS score FROM a GROUP BY 1, 2""",
 )
 def search_benchmark_phrases(spark: SparkSession, sf: str) -> DataFrame:
