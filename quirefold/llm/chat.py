@@ -3,17 +3,20 @@
 A template gives for each role the markers before and after a text and whether the text is under the loss, and
 the allowed orders of roles as transitions. format_chat turns the rows of conversations into segments (markers
 and escaped texts, each with its loss flag); the segments of a conversation, joined in order, are its formatted
-string. Control strings inside texts are broken after their first character by an escape; the escape character
-itself is doubled. So a formatted string holds control strings only where the template put them, and read_chat
-gets roles and texts back.
+string. Control strings are the marks of the template without the spaces around them (`[INST]`, `</s>`). Inside texts
+they are broken after their first character by an escape, also where one only begins at the end of a text; the escape
+character itself is doubled. So a formatted string holds control strings only where the template put them.
+read_chat gets roles and texts back from it, the state machine runs anew over the roles read, and the text under the
+loss is that of the segments whose flag says so.
 
 Turns are shuffled once by conversation and sorted there; from then on rows stream in order, batch by batch, so
 that a conversation with a third of all rows needs a pass through one task but never its memory.
 
 Conversations that break the order of roles are formatted all the same and marked (valid false, bad_turn the
 number of the first turn out of order, from 0). Nulls: a null text is empty; a null role is the role "" and a
-null turn comes first; a null conv_id is a conversation of its own. Ties in turn: by role, then text. Repeated
-rows are turns like others. Empty table: no rows. Further columns are ignored.
+null turn comes first; each row with a null conv_id is a conversation of one turn, and those are spread over all
+tasks. Ties in turn: by role, then text. Repeated rows are turns like others. Empty table: no rows. Further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -47,10 +50,14 @@ class Template:
     controls: tuple[str, ...] = field(init=False)
 
     def __post_init__(self):
-        c = sorted({m for a, b, _ in self.markers.values() for m in (a, b)} | set(self.other), key=lambda x: (-len(x), x))
-        if any(not m or self.escape in m for m in c):
-            raise ValueError("markers must not be empty or hold the escape character")
+        marks = {m for a, b, _ in self.markers.values() for m in (a, b)} | set(self.other)
+        c = sorted({x for m in marks for x in re.findall(r"<[^<>]*>|<<[^<>]*>>|\[[^\[\]]*\]|[^\s<\[]+", m)}, key=lambda x: (-len(x), x))
+        if any(not m.strip() or self.escape in m for m in marks):
+            raise ValueError("markers must not be blank or hold the escape character")
         object.__setattr__(self, "controls", tuple(c))
+        opening = [m[0] for m in self.markers.values()] + [self.other[0]]
+        if len({m.strip() for m in opening}) < len(opening):
+            raise ValueError("roles must have different openings")
 
     def escaper(self):
         e, every = re.escape(self.escape), "|".join(map(re.escape, self.controls))
@@ -70,10 +77,16 @@ DEFAULT = Template(
     moves={"start": {"system": "asked", "user": "answer"}, "asked": {"user": "answer"}, "answer": {"assistant": "asked"}},
 )
 
-_SEGMENTS = [("turn_no", pa.int64()), ("segment", pa.string()), ("loss", pa.bool_()), ("valid", pa.bool_())]
+_SEGMENTS = [("turn_no", pa.int64()), ("part", pa.int64()), ("segment", pa.string()), ("loss", pa.bool_()), ("valid", pa.bool_())]
 _READ = [("conv_id", None), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_()), ("bad_turn", pa.int64())]
 
 
+def _step(template: Template, state: str, role: str) -> tuple[str, bool]:
+    """(next state, whether the role was in order); after a role out of order, the state that it leads to elsewhere."""
+    after = template.moves.get(state, {}).get(role)
+    return after or next((m[role] for m in template.moves.values() if role in m), state), after is not None
+
+
 def _segments(template: Template):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         escape, conv, turn_no, state = template.escaper(), object(), 0, "start"
@@ -81,17 +94,15 @@ def _segments(template: Template):
             ids, roles, texts = (batch.column(i) for i in range(3))
             out: list[tuple] = []
             for i, (key, role, text) in enumerate(zip(ids.to_pylist(), roles.to_pylist(), texts.to_pylist())):
-                if key != conv:
+                if key != conv or key is None:
                     conv, turn_no, state = key, 0, "start"
                 role, text = role or "", text or ""
-                after = template.moves.get(state, {}).get(role)
-                state = after or next((m[role] for m in template.moves.values() if role in m), state)
+                state, ok = _step(template, state, role)
                 if role in template.markers:
                     a, b, loss = template.markers[role]
                 else:
                     a, b, loss = template.other[0] + escape(role) + template.other[1], template.other[2], False
-                ok = after is not None
-                out += [(i, turn_no, a, False, ok), (i, turn_no, escape(text), loss, ok), (i, turn_no, b, False, ok)]
+                out += [(i, turn_no, 0, a, False, ok), (i, turn_no, 1, escape(text), loss, ok), (i, turn_no, 2, b, False, ok)]
                 turn_no += 1
             if out:
                 cols = [ids.take(pa.array([x[0] for x in out]))] + [pa.array([x[k + 1] for x in out], t) for k, (_, t) in enumerate(_SEGMENTS)]
@@ -101,17 +112,23 @@ def _segments(template: Template):
 
 
 class _Reader:
-    """Takes the formatted string of one conversation piece by piece and finds turns in it by its control strings alone."""
+    """Takes the formatted string of one conversation piece by piece and finds turns in it by its control strings alone; what is under the loss it takes from the flags of the pieces."""
 
     def __init__(self, template: Template):
         self.t = template
         e = re.escape(template.escape)
-        self.find = re.compile(f"{e}.|({'|'.join(map(re.escape, template.controls))})", re.S)
-        self.rest, self.turn = "", None
+        marks = sorted({m for a, b, _ in template.markers.values() for m in (a, b)} | set(template.other), key=lambda x: (-len(x), x))
+        self.find = re.compile(f"{e}.|({'|'.join(map(re.escape, marks))})", re.S)
+        self.rest, self.state = "", "start"
         self.n_turns = self.loss_chars = self.chars = 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.bad: int | None = None
 
+    def masked(self, piece: str) -> None:
+        text = self.t.unescape(piece)
+        self.loss_chars += len(text)
+        self.loss.update(text.encode("utf-8", "replace"))
+
     def feed(self, piece: str, last: bool = False) -> None:
         self.chars += len(piece)
         self.rest += piece
@@ -127,9 +144,9 @@ class _Reader:
                 mid = next((m for m in self.find.finditer(self.rest, first.end()) if m[1]), None)
                 if mid is None:
                     break
-                role, body, close, loss = t.unescape(self.rest[first.end() : mid.start()]), mid.end(), t.other[2], False
+                role, body, close = t.unescape(self.rest[first.end() : mid.start()]), mid.end(), t.other[2]
             else:
-                role, (_, close, loss) = next((r, m) for r, m in t.markers.items() if m[0] == first[1])
+                role, close = next((r, m[1]) for r, m in t.markers.items() if m[0] == first[1])
                 body = first.end()
             end = next((m for m in self.find.finditer(self.rest, body) if m[1]), None)
             if end is None:
@@ -138,10 +155,10 @@ class _Reader:
                 raise ValueError("a turn is not closed by its own marker")
             text = t.unescape(self.rest[body : end.start()])
             self.turns.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
+            self.state, ok = _step(t, self.state, role)
+            if not ok and self.bad is None:
+                self.bad = self.n_turns
             self.n_turns += 1
-            if loss:
-                self.loss_chars += len(text)
-                self.loss.update(text.encode("utf-8", "replace"))
             at = end.end()
         self.rest = self.rest[at:]
         if last and self.rest:
@@ -165,20 +182,18 @@ def _read(template: Template):
         for batch in batches:
             kind = batch.schema.field(0).type
             segments: list[str] = []
-            turn = None
-            for key, turn_no, segment, _, valid in zip(*(c.to_pylist() for c in batch.columns)):
-                if reader is None or key != conv:
+            for key, turn_no, part, segment, loss in zip(*(c.to_pylist() for c in batch.columns)):
+                if reader is None or (turn_no == 0 and part == 0):
                     if reader is not None:
                         reader.feed("".join(segments))
                         close()
-                    segments, reader, conv, turn = [], _Reader(template), key, None
-                if turn_no != turn and segments:  # whole turns at a time, so that what is kept stays short
+                    segments, reader, conv = [], _Reader(template), key
+                elif part == 0:  # whole turns at a time, so that what is kept stays short
                     reader.feed("".join(segments))
                     segments = []
-                turn = turn_no
                 segments.append(segment)
-                if not valid and reader.bad is None:
-                    reader.bad = turn_no
+                if loss:
+                    reader.masked(segment)
             if segments:
                 reader.feed("".join(segments))
             if done:
@@ -191,10 +206,11 @@ def _read(template: Template):
 
 
 def format_chat(df: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """(conv_id, turn_no, segment, loss, valid) in order within a conversation; rows of one conversation lie together in one partition."""
+    """(conv_id, turn_no, part, segment, loss, valid) in order within a conversation; rows of one conversation lie together in one partition."""
     ship(df.sparkSession)
-    rows = df.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    schema = T.StructType([df.schema["conv_id"], T.StructField("turn_no", T.LongType()), T.StructField("segment", T.StringType()), T.StructField("loss", T.BooleanType()), T.StructField("valid", T.BooleanType())])
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    rows = df.select("conv_id", "turn", "role", "text").repartition("conv_id", alone).sortWithinPartitions("conv_id", "turn", "role", "text")
+    schema = T.StructType([df.schema["conv_id"], T.StructField("turn_no", T.LongType()), T.StructField("part", T.LongType()), T.StructField("segment", T.StringType()), T.StructField("loss", T.BooleanType()), T.StructField("valid", T.BooleanType())])
     return rows.select("conv_id", "role", "text").mapInArrow(_segments(template), schema)
 
 
@@ -203,7 +219,7 @@ def read_chat(segments: DataFrame, template: Template = DEFAULT) -> DataFrame:
     long, string = T.LongType(), T.StringType()
     kinds = [segments.schema["conv_id"].dataType, long, string, long, string, long, T.BooleanType(), long]
     schema = T.StructType([T.StructField(n, k) for (n, _), k in zip(_READ, kinds)])
-    return segments.select("conv_id", "turn_no", "segment", "loss", "valid").mapInArrow(_read(template), schema)
+    return segments.select("conv_id", "turn_no", "part", "segment", "loss").mapInArrow(_read(template), schema)
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,5 +229,34 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chat(format_chat(c.unionByName(extra)))
 
 
+def _sql(t: Template) -> str:
+    """The contract's columns and valid, bad_turn; escapes are counted, not made."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    any_control = q("|".join(re.sub(r"([^A-Za-z0-9 ])", r"\\\1", c) for c in t.controls))
+    begun = ", ".join(q(x) for x in sorted({c[:k] for c in t.controls for k in range(1, len(c))}))
+
+    def length(x: str) -> str:
+        return f"(length({x}) + (length({x}) - length(replace({x}, {q(t.escape)}, ''))) + 2 * (len(regexp_extract_all({x}, {any_control})) + len(list_filter([{begun}], lambda p: ends_with({x}, p)))))"
+
+    known = " ".join(f"WHEN {q(r)} THEN {len(a) + len(b)} + {length('text')}" for r, (a, b, _) in t.markers.items())
+    other = f"{sum(map(len, t.other))} + {length('role')} + {length('text')}"
+    lost = ", ".join(q(r) for r, m in t.markers.items() if m[2])
+    after: dict[str, str] = {}
+    for moves in t.moves.values():
+        for role, state in moves.items():
+            if after.setdefault(role, state) != state:
+                raise ValueError("a role must lead to one state")
+    states = " ".join(f"WHEN {q(r)} THEN {q(s)}" for r, s in after.items())
+    fits = " OR ".join(f"(state = {q(s)} AND role IN ({', '.join(map(q, m))}))" for s, m in t.moves.items())
+    return f"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, x, y, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(x, y)),
+    k AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM c),
+    n AS (SELECT conv_id, alone, row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM k),
+    s AS (SELECT *, coalesce(last_value(CASE role {states} END IGNORE NULLS) OVER (PARTITION BY conv_id, alone ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'start') AS state FROM n),
+    f AS (SELECT *, ({fits}) AS ok, CASE role {known} ELSE {other} END AS chars FROM s)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role IN ({lost})), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role IN ({lost})), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars, bool_and(ok) AS valid, min(i) FILTER (NOT ok) AS bad_turn
+    FROM f GROUP BY conv_id, alone"""
+
+
 QUERIES = {"op2_chat": op2_chat}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_chat": _sql(DEFAULT)}

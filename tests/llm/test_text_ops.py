@@ -116,6 +116,8 @@ def test_chat(spark):
     df = spark.createDataFrame(rows, CONV).withColumn("segment", F.lit(1)).withColumn("loss", F.lit("x"))
     got = {x.conv_id: x for x in chat.read_chat(chat.format_chat(df)).collect()}
     by = {}
+    rows = [x for x in rows if x[0] is not None]
+    assert got.pop(None).n_turns == 1
     for c, t, role, text in rows:
         by.setdefault(c, []).append(((-1 if t is None else t), role is not None, role or "", text is not None, text or ""))
     assert set(got) == set(by)
@@ -129,6 +131,33 @@ def test_chat(spark):
     seg = chat.format_chat(df.filter("conv_id = 100")).collect()
     assert "".join(s.segment for s in seg) == "<s>[INST] a [/INST] <|answer|>b</s>" and [s.segment for s in seg if s.loss] == ["b"]
     assert chat.read_chat(chat.format_chat(spark.createDataFrame([], CONV))).count() == 0
+    alone = spark.createDataFrame([(None, i, "user", f"t{i % 3}") for i in range(9)], CONV)
+    assert [x.n_turns for x in chat.read_chat(chat.format_chat(alone)).collect()] == [1] * 9
+
+
+def test_chat_escapes():
+    """No bare mark of the template is left in an escaped text, nor made where the text meets its markers; escapes can be undone."""
+    t, r = chat.DEFAULT, random.Random(4)
+    assert set(t.controls) == {"<<SYS>>", "<</SYS>>", "<s>", "[INST]", "[/INST]", "<|answer|>", "</s>", "<|role|>", "<|says|>", "<|end|>"}
+    escape = t.escaper()
+    bits = [*t.controls, "<", "[", "<|", "</", "\\", "\\:", ":", " ", "x", "INST]"]
+    for text in ["</s>[INST] ok [/INST]", "[INST]", *("".join(r.choice(bits) for _ in range(r.randint(0, 9))) for _ in range(3000))]:
+        out = escape(text)
+        assert t.unescape(out) == text and not any(c in out for c in t.controls)
+        for before, after, _ in t.markers.values():
+            whole = before + out + after
+            assert sum(whole.count(c) for c in t.controls) == sum((before + after).count(c) for c in t.controls)
+
+
+def test_chat_reads_the_loss_flags(spark):
+    """Digests of the loss come from the emitted flags: wrong ones show."""
+    rows = [(1, 0, "user", "ask"), (1, 1, "assistant", "answer</s>"), (1, 2, "user", "b"), (1, 3, "assistant", "c")]
+    seg = chat.format_chat(spark.createDataFrame(rows, CONV)).coalesce(1)
+    right = chat.read_chat(seg).first()
+    assert right.loss_sha256 == hashlib.sha256(b"answer</s>c").hexdigest() and right.loss_chars == 11
+    for wrong in (F.lit(True), F.lit(False), ~F.col("loss"), F.col("part") == 1, F.col("loss") & (F.col("turn_no") == 1), F.col("loss") | (F.col("part") == 2)):
+        assert chat.read_chat(seg.withColumn("loss", wrong)).first().loss_sha256 != right.loss_sha256
+    assert chat.read_chat(seg.withColumn("valid", F.lit(False))).first().valid
 
 
 def test_chat_query(spark, sf):
