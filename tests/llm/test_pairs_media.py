@@ -399,7 +399,7 @@ def test_urls_brute_force(spark):
     rules = urls.mine_rules(sets.join(labels, "id").select("tokens", "verdict")).collect()
     got = {x.page_id: x.verdict for x in urls.judge_urls(pages, labels).collect()}
     for x in sets.collect():
-        fit = [(q.confidence, len(q.tokens), q.support, " ".join(q.tokens), q.verdict) for q in rules if set(q.tokens) <= set(x.tokens)]
+        fit = [(q.certainty, len(q.tokens), q.support, " ".join(q.tokens), q.verdict) for q in rules if set(q.tokens) <= set(x.tokens)]
         assert got[x.id] == (max(fit)[4] if fit else "allow")
     assert rules
 
@@ -418,6 +418,66 @@ def test_urls_block_rules(spark, tmp_path):
     assert all(got[i] == ("block" if i < 25 else "allow") for i, _ in few)
 
 
+def test_urls_rules_brute_force(spark):
+    """Rules against a count of all token combinations."""
+    from itertools import combinations
+
+    r = random.Random(11)
+    sets = [(sorted({r.choice("abc"), r.choice("de"), r.choice("fgh"), "z", "y"} | ({"p", "q"} if r.random() < 0.4 else set())), "block" if r.random() < 0.2 else "allow") for _ in range(150)]
+    sets = [(t, "block" if "p" in t and "a" in t and r.random() < 0.45 else v) for t, v in sets] + [([], "block"), (["a"], None)]
+    got = {(tuple(x.tokens), x.verdict): (x.confidence, x.certainty) for x in urls.mine_rules(spark.createDataFrame(sets, "tokens array<string>, verdict string"), min_pages=8, min_certainty=0.1).collect()}
+    sets = [(t, v) for t, v in sets if t and v]
+    with_, labels = Counter(), Counter(v for _, v in sets)
+    for t, v in sets:
+        kinds = [x for x in t if x not in "zq"]  # y stands for y and z, p for p and q
+        for k in range(1, len(kinds) + 1):
+            for c in combinations(kinds, k):
+                full = tuple(sorted({*c, *("z" if "y" in c else ""), *("q" if "p" in c else "")}))
+                with_[full, None] += 1
+                with_[full, v] += 1
+    want = {}
+    for (c, v), k in with_.items():
+        if v and k >= 8:
+            confidence, share = k / with_[c, None], labels[v] / len(sets)
+            if (confidence - share) / (1 - share) >= 0.1:
+                want[c, v] = (pytest.approx(confidence), pytest.approx((confidence - share) / (1 - share)))
+    assert got == want and want
+
+
+def test_urls_rare_label_and_bounds(spark):
+    """A pattern whose label is rarer than not is mined where it is far above its share, and pages are blocked by it; many query keys don't make many itemsets."""
+    pages = [(i, f"http://{'win.bad' if i < 100 else f'h{i % 50}.good'}.net/{'abc'[i % 3]}/{i}") for i in range(2000)] + [(5000, "http://win.bad.net/zz/1"), (5001, "http://h1.good.net/zz/1")]
+    labels = [(i, "block" if i < 100 and i % 2 else "allow") for i in range(2000)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    got = {x.page_id: x.verdict for x in urls.judge_urls(df, spark.createDataFrame(labels, "id long, verdict string")).collect()}
+    assert got[5000] == "block" and got[5001] == "allow"  # half of its pages are blocked, and 2.5 % of all
+    r = random.Random(3)
+    wide = [([f"k{j:02}" for j in range(30) if j < 20 or r.random() < 0.8], r.choice(["allow", "block"])) for _ in range(300)]
+    narrow, kinds = urls._narrowed(spark.createDataFrame(wide, "tokens array<string>, verdict string"), urls.WIDTH)
+    assert max(len(x.tokens) for x in narrow.collect()) <= urls.WIDTH and kinds.count() == 11
+    assert urls.mine_rules(spark.createDataFrame(wide, "tokens array<string>, verdict string"), min_certainty=-9.0).count() <= 2 * 2**11
+    deep = "http://" + ".".join(f"l{i}" for i in range(12)) + ".org/" + "a/" * 15
+    host, path = urls.host_and_path(F.lit(deep))
+    tokens = spark.range(1).select(urls.url_tokens(F.lit(deep), host, path)).first()[0]
+    assert sum(t.startswith("host:") for t in tokens) == 13 and "depth:15" in tokens
+
+
+def test_urls_base_against_sql(spark):
+    """Host, path and rule of all pages against DuckDB, and the verdict where a fixed rule decides."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    rules = " UNION ALL ".join(f"SELECT '{h}' AS h, '{p}' AS p, '{v}' AS v" for h, p, v in urls.FIXED)
+    want = duckdb.sql(f"""WITH r AS ({rules}), a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS x FROM '{sf}/pages.parquet'),
+        b AS (SELECT page_id, translate(regexp_extract(x, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(x, '^[^/?#]*([^?#]*)', 1) AS path FROM a)
+        SELECT page_id, host, path, arg_max(h || p, length(h || p)), arg_max(v, length(h || p)) FROM b LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL""").fetchall()
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in registry.QUERIES["op8_urls"](spark, sf).collect()}
+    assert len(got) == len(want)
+    for id_, host, path, rule, verdict in want:
+        assert got[id_][:3] == (host, path, rule) and (rule is None or got[id_][3] == verdict)
+    assert {v for _, _, rule, v in got.values() if rule is None} == {"allow", "block"}
+
+
 def test_hasher():
     buf = np.frombuffer(b"abcabcabd" * 3, np.uint8)
     h = textcore.Hasher(buf)
