@@ -6,10 +6,14 @@ escapes, wasted bits, stereo decorrelation). All frames of a batch are decoded s
 residual i of every frame in a few numpy operations, so the work is vectorised across frames, not across bits.
 The samples are checked with the stream's MD5.
 
-The encoder packs a batch in the same way: blocks of BLOCK samples, per frame the best of constant, verbatim and
-fixed predictors of order 0 to 2 with one Rice parameter, a seek table with an entry for each frame.
+The encoder packs a batch in the same way: blocks of BLOCK samples, per frame the smallest of constant, verbatim,
+fixed predictors of order 0 to 2 and a linear predictor of order ORDER (autocorrelation, Levinson-Durbin,
+coefficients of PRECISION bits) with one Rice parameter; a seek table with an entry for each frame.
 
-write_pcm_blocks turns a column of streams into PCM blocks with sample offsets, so that a reader can seek.
+Decoding gives PCM blocks with the number of their first sample, frame after frame; no more than LANES frames are
+unpacked at a time, so a stream of any length needs little beyond its own size. PcmBlocks reads any range of samples
+by their offsets, and read_samples decodes only the frames that the seek table names for a range. media_columns reads
+the stored bytes back that way; write_pcm_blocks turns a column of streams into a table of blocks.
 
 One narrow pass, no shuffle; memory is bounded by the slice. Nulls: a null text is empty, its payload 64 zero
 bytes; a null stream gives no blocks; null ids are kept. Empty table: no rows. Repeated rows: equal values.
@@ -21,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +38,9 @@ from quirefold.common import ship, table
 from quirefold.llm import textcore as tc
 
 BLOCK, RATE, UNIT = 1024, 8000, 64
+ORDER, PRECISION = 4, 8
+#: Frames that are packed or unpacked side by side.
+LANES = 1024
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -119,6 +127,30 @@ def _pack(values: np.ndarray, bits: np.ndarray, skip: np.ndarray, row_bytes: np.
     return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
+def _predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, shifts) of linear predictors of rows of 8-bit samples: whole numbers, the latest sample first."""
+    n, size = x.shape
+    r = np.stack([(x[:, lag:] * x[:, : size - lag]).sum(1, dtype=np.int64) for lag in range(ORDER + 1)]).astype(np.float64)
+    a, error = np.zeros((ORDER, n)), r[0].copy()
+    for i in range(ORDER):
+        k = r[i + 1] - (a[:i] * r[i:0:-1]).sum(0)
+        k = np.where(error > 0, k / np.where(error > 0, error, 1), 0)
+        a[:i], a[i] = a[:i] - k * a[:i][::-1], k
+        error = error * (1 - k * k)
+    top = (1 << (PRECISION - 1)) - 1
+    shift = np.clip(np.floor(np.log2(top / np.maximum(np.abs(a).max(0), 1e-9))), 0, 15).astype(np.int32)
+    q = np.clip(np.rint(a * 2.0**shift), -top, top).astype(np.int32)
+    return q.T, shift
+
+
+def _rice(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, parameter) of rows of residuals as unsigned numbers."""
+    mean = np.maximum(z.mean(1), 1e-9)
+    k = np.clip(np.floor(np.log2(np.maximum(mean * 0.6931, 1))).astype(np.int64), 0, 13)
+    cost = np.stack([(z >> (k + e).clip(0, 14)[:, None]).sum(1, dtype=np.int64) + z.shape[1] * (1 + (k + e).clip(0, 14)) for e in (0, 1)])
+    return cost.min(0), np.where(cost[1] < cost[0], k + 1, k).clip(0, 14)
+
+
 def _subframes(x: np.ndarray) -> list[bytes]:
     """Subframes of rows of 8-bit samples."""
     n, size = x.shape
@@ -128,11 +160,16 @@ def _subframes(x: np.ndarray) -> list[bytes]:
         if size <= order:
             break
         z = (r << 1) ^ (r >> 31)
-        mean = np.maximum(z.mean(1), 1e-9)
-        k = np.clip(np.floor(np.log2(np.maximum(mean * 0.6931, 1))).astype(np.int64), 0, 13)
-        cost = np.stack([(z >> (k + e).clip(0, 14)[:, None]).sum(1) + z.shape[1] * (1 + (k + e).clip(0, 14)) for e in (0, 1)])
-        k = np.where(cost[1] < cost[0], k + 1, k).clip(0, 14)
-        choices.append((8 + 8 * order + 6 + 4 + cost.min(0), k, z))
+        cost, k = _rice(z)
+        choices.append((8 + 8 * order + 6 + 4 + cost, k, z))
+    n_fixed = len(choices)
+    if size > 4 * ORDER:
+        coefs, shift = _predictors(x)
+        guess = sum(coefs[:, j, None] * x[:, ORDER - 1 - j : size - 1 - j] for j in range(ORDER)) >> shift[:, None]
+        r = x[:, ORDER:] - guess
+        z = (r << 1) ^ (r >> 31)
+        cost, k = _rice(z)
+        choices.append((8 + 8 * ORDER + 4 + 5 + PRECISION * ORDER + 6 + 4 + cost, k, z))
     best = np.argmin(np.stack([c[0] for c in choices]), 0)
     bits = np.stack([c[0] for c in choices])[best, np.arange(n)]
     constant = (x == x[:, :1]).all(1)
@@ -143,21 +180,25 @@ def _subframes(x: np.ndarray) -> list[bytes]:
         out[i] = b"\x00" + raw[i, :1].tobytes()
     for i in np.flatnonzero(verbatim).tolist():
         out[i] = b"\x02" + raw[i].tobytes()
-    for order in range(len(choices)):
-        rows = np.flatnonzero((best == order) & ~constant & ~verbatim)
+    for c, (_, k, z) in enumerate(choices):
+        rows = np.flatnonzero((best == c) & ~constant & ~verbatim)
         if not len(rows):
             continue
-        _, k, z = choices[order]
+        linear = c == n_fixed
+        order = ORDER if linear else c
         k, z = k[rows], z[rows]
-        lead = 2 + order + 1  # type byte and warm-up samples, then method and partition order, parameter
-        v = np.empty((len(rows), lead + z.shape[1]), np.int64)
+        # (number, bits) of what stands before the residuals: type, warm-up samples, predictor, method and partition order, parameter
+        lead = [((0x20 | order - 1) << 1 if linear else (0x08 | order) << 1, 8), *((x[rows, i] & 0xFF, 8) for i in range(order))]
+        if linear:
+            lead += [(PRECISION - 1, 4), (shift[rows], 5), *((coefs[rows, j] & (1 << PRECISION) - 1, PRECISION) for j in range(order))]
+        lead += [(0, 6), (k, 4)]
+        m = len(lead)
+        v = np.empty((len(rows), m + z.shape[1]), np.int64)
         b, skip = np.empty_like(v), np.zeros_like(v)
-        v[:, 0], b[:, 0] = (0x08 | order) << 1, 8
-        v[:, 1 : 1 + order], b[:, 1 : 1 + order] = x[rows, :order] & 0xFF, 8
-        v[:, 1 + order], b[:, 1 + order] = 0, 6
-        v[:, 2 + order], b[:, 2 + order] = k, 4
-        v[:, lead:] = (1 << k)[:, None] | z & ((1 << k) - 1)[:, None]
-        b[:, lead:], skip[:, lead:] = (k + 1)[:, None], z >> k[:, None]
+        for j, (value, width) in enumerate(lead):
+            v[:, j], b[:, j] = value, width
+        v[:, m:] = (1 << k)[:, None] | z & ((1 << k) - 1)[:, None]
+        b[:, m:], skip[:, m:] = (k + 1)[:, None], z >> k[:, None]
         size_bits = (b + skip).sum(1)
         for i, s in zip(rows.tolist(), _pack(v, b, skip, (size_bits + 7) // 8)):
             out[i] = s
@@ -174,8 +215,8 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
             where.setdefault(min(BLOCK, len(p) - j), []).append((i, j))
     frames: list[list[bytes]] = [[b""] * (-(-len(p) // BLOCK)) for p in payloads]
     for size, places in where.items():
-        for a in range(0, len(places), 4096):
-            part = places[a : a + 4096]
+        for a in range(0, len(places), LANES):
+            part = places[a : a + LANES]
             x = np.frombuffer(b"".join(payloads[i][j : j + size] for i, j in part), np.uint8).reshape(len(part), size).astype(np.int32) - 128
             for (i, j), sub in zip(part, _subframes(x)):
                 frames[i][j // BLOCK] = _header(j // BLOCK, size) + sub
@@ -443,71 +484,148 @@ def _subframe(bits: _Bits, pos: np.ndarray, size: np.ndarray, depth: np.ndarray,
                 out[f] = x
         if len(lin):
             b, o = a[lin], order[lin]
-            for i in range(1, int(size[b].max())):
-                on = np.flatnonzero((size[b] > i) & (o <= i))
-                if len(on):
-                    back = i - 1 - np.arange(int(o[on].max()))
-                    past = np.where(back >= 0, out[b[on]][:, np.maximum(back, 0)], 0)
-                    out[b[on], i] += (coefs[lin[on], : len(back)] * past).sum(1) >> shift[lin[on]]
+            most = int(o.max())
+            x, c, by = np.ascontiguousarray(out[b].T), np.ascontiguousarray(coefs[lin, :most].T), shift[lin]
+            for i in range(int(o.min()), int(size[b].max())):
+                past = x[max(0, i - most) : i][::-1]
+                guess = (c[: len(past)] * past).sum(0) >> by
+                x[i] += guess if i >= most else np.where(o <= i, guess, 0)
+            out[b] = x.T
     w = np.flatnonzero(wasted)
     if len(w):
         out[w] <<= wasted[w, None]
     return pos
 
 
-def decode_many(streams: list[bytes]) -> list[tuple[Info, np.ndarray]]:
-    """(info, samples by channel) of each stream, all frames decoded side by side; checksums are verified."""
-    infos, frames = [], []
-    base = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
-    for i, s in enumerate(streams):
-        infos.append(Info(s))
-        frames += [(i, int(base[i]) + a, b - a, h) for a, b, h in find_frames(s, infos[-1])]
-    buf = np.frombuffer(b"".join(streams), np.uint8)
-    start, length = np.array([f[1] for f in frames], np.int64), np.array([f[2] for f in frames], np.int64)
+def _unpack(buf: np.ndarray, frames: list[tuple[int, int, tuple]]) -> list[np.ndarray]:
+    """Samples (channels, n) of frames (start, length, header) of a buffer, decoded side by side; checksums are verified."""
+    start, length = np.array([f[0] for f in frames], np.int64), np.array([f[1] for f in frames], np.int64)
     if (crc16_many(buf, start, length) != 0).any():
         raise ValueError("a frame's checksum doesn't fit")
-    parts: list[list[np.ndarray]] = [[] for _ in streams]
     bits = _Bits(buf)
-    count = {f[3][2] for f in frames}
     decoded: list[np.ndarray | None] = [None] * len(frames)
-    for code in count:
-        lanes = np.array([i for i, f in enumerate(frames) if f[3][2] == code])
-        for a in range(0, len(lanes), 4096):
-            own = lanes[a : a + 4096]
-            size = np.array([frames[i][3][1] for i in own], np.int64)
-            depth = np.array([frames[i][3][3] for i in own], np.int64)
-            pos = (start[own] + np.array([frames[i][3][4] for i in own])) * 8
-            channels = code + 1 if code < 8 else 2
-            outs = []
-            for c in range(channels):
-                out = np.zeros((len(own), int(size.max())), np.int64)
-                side = (code == 8 and c == 1) or (code == 9 and c == 0) or (code == 10 and c == 1)
-                pos = _subframe(bits, pos, size, depth + side, out)
-                outs.append(out)
-            if ((pos + 7) // 8 + 2 != start[own] + length[own]).any():
-                raise ValueError("a frame's length doesn't fit")
-            if code == 8:
-                outs[1] = outs[0] - outs[1]
-            elif code == 9:
-                outs[0] = outs[0] + outs[1]
-            elif code == 10:
-                mid = outs[0] << 1 | outs[1] & 1
-                outs = [(mid + outs[1]) >> 1, (mid - outs[1]) >> 1]
-            for j, i in enumerate(own.tolist()):
-                decoded[i] = np.stack([o[j, : size[j]] for o in outs])
-    for (i, *_), x in zip(frames, decoded):
-        parts[i].append(x)
-    result = []
-    for info, own in zip(infos, parts):
-        x = np.concatenate(own, 1) if own else np.zeros((info.channels, 0), np.int64)
-        if info.total and x.shape[1] != info.total:
+    for code in {f[2][2] for f in frames}:
+        own = np.array([i for i, f in enumerate(frames) if f[2][2] == code])
+        size = np.array([frames[i][2][1] for i in own], np.int64)
+        depth = np.array([frames[i][2][3] for i in own], np.int64)
+        pos = (start[own] + np.array([frames[i][2][4] for i in own])) * 8
+        channels = code + 1 if code < 8 else 2
+        outs = []
+        for c in range(channels):
+            out = np.zeros((len(own), int(size.max())), np.int64)
+            side = (code == 8 and c == 1) or (code == 9 and c == 0) or (code == 10 and c == 1)
+            pos = _subframe(bits, pos, size, depth + side, out)
+            outs.append(out)
+        if ((pos + 7) // 8 + 2 != start[own] + length[own]).any():
+            raise ValueError("a frame's length doesn't fit")
+        if code == 8:
+            outs[1] = outs[0] - outs[1]
+        elif code == 9:
+            outs[0] = outs[0] + outs[1]
+        elif code == 10:
+            mid = outs[0] << 1 | outs[1] & 1
+            outs = [(mid + outs[1]) >> 1, (mid - outs[1]) >> 1]
+        for j, i in enumerate(own.tolist()):
+            decoded[i] = np.stack([o[j, : size[j]] for o in outs])
+    return decoded
+
+
+def decode_blocks(streams: list[bytes]) -> Iterator[tuple[int, Info, int, np.ndarray | None]]:
+    """(stream, info, first sample, samples by channel) of each frame, stream after stream, LANES frames unpacked at a time; None for the samples when a stream ends, at the number of its samples, which have been checked with its MD5."""
+    infos, frames, base = [], [], 0
+    for i, s in enumerate(streams):
+        infos.append(Info(s))
+        frames += [(i, base + a, b - a, h) for a, b, h in find_frames(s, infos[-1])]
+        base += len(s)
+    buf = np.frombuffer(streams[0] if len(streams) == 1 else b"".join(streams), np.uint8)
+    now, at, digest = 0, 0, hashlib.md5()
+
+    def end() -> tuple[int, Info, int, None]:
+        info = infos[now]
+        if info.total and at != info.total:
             raise ValueError("the number of samples doesn't fit")
-        if info.md5 != bytes(16) and hashlib.md5(pcm(x, info.bits)).digest() != info.md5:
+        if info.md5 != bytes(16) and digest.digest() != info.md5:
             raise ValueError("the samples' MD5 doesn't fit")
-        result.append((info, x))
+        return now, info, at, None
+
+    for a in range(0, len(frames), LANES):
+        part = frames[a : a + LANES]
+        lo, hi = part[0][1], part[-1][1] + part[-1][2]
+        for (i, *_), x in zip(part, _unpack(buf[lo:hi], [(f[1] - lo, f[2], f[3]) for f in part])):
+            while now < i:
+                yield end()
+                now, at, digest = now + 1, 0, hashlib.md5()
+            digest.update(pcm(x, infos[i].bits))
+            yield i, infos[i], at, x
+            at += x.shape[1]
+    while now < len(streams):
+        yield end()
+        now, at, digest = now + 1, 0, hashlib.md5()
+
+
+def decode_many(streams: list[bytes]) -> list[tuple[Info, np.ndarray]]:
+    """(info, samples by channel) of each stream as a whole."""
+    result, own = [], []
+    for _, info, _, x in decode_blocks(streams):
+        if x is not None:
+            own.append(x)
+            continue
+        result.append((info, np.concatenate(own, 1) if own else np.zeros((info.channels, 0), np.int64)))
+        own = []
     return result
 
 
+def read_samples(stream: bytes, first: int, n: int) -> np.ndarray:
+    """Samples (channels, n) from number `first` on: only the frames in which they lie are decoded, found by the seek table if there is one."""
+    info = Info(stream)
+    at, out = 0, []
+    own = []
+    if info.points and all(p[0] != (1 << 64) - 1 for p in info.points):
+        i = max(0, bisect_right([p[0] for p in info.points], first) - 1)
+        for j in range(i, len(info.points)):
+            number, offset, _ = info.points[j]
+            if number >= first + n:
+                break
+            end = info.first + info.points[j + 1][1] if j + 1 < len(info.points) else len(stream)
+            head = frame_header(stream, info.first + offset, info)
+            if head is None:
+                raise ValueError("the seek table names no frame")
+            own.append((number, info.first + offset, end - info.first - offset, head))
+    else:
+        for a, b, head in find_frames(stream, info):
+            if at < first + n and at + head[1] > first:
+                own.append((at, a, b - a, head))
+            at += head[1]
+    for a in range(0, len(own), LANES):
+        part = own[a : a + LANES]
+        lo, hi = part[0][1], part[-1][1] + part[-1][2]
+        out += _unpack(np.frombuffer(stream, np.uint8)[lo:hi], [(f[1] - lo, f[2], f[3]) for f in part])
+    if not out:
+        return np.zeros((info.channels, 0), np.int64)
+    return np.concatenate(out, 1)[:, max(0, first - own[0][0]) : max(0, first + n - own[0][0])]
+
+
+class PcmBlocks:
+    """Blocks of interleaved PCM bytes in order, with the numbers of their first samples."""
+
+    def __init__(self, frame_bytes: int):
+        self.width, self.first, self.blocks, self.n = frame_bytes, [], [], 0
+
+    def add(self, data: bytes) -> None:
+        self.first.append(self.n)
+        self.blocks.append(data)
+        self.n += len(data) // self.width
+
+    def read(self, first: int, n: int) -> bytes:
+        """The bytes of n samples from number `first` on; only the blocks in which they lie are touched."""
+        i, out = max(0, bisect_right(self.first, first) - 1), []
+        while i < len(self.blocks) and self.first[i] < first + n:
+            a = max(0, first - self.first[i])
+            out.append(self.blocks[i][a * self.width : (first + n - self.first[i]) * self.width])
+            i += 1
+        return b"".join(out)
+
+
 def pcm(samples: np.ndarray, bits: int) -> bytes:
     """Interleaved little-endian signed samples of whole bytes."""
     flat = np.ascontiguousarray(samples.T).ravel()
@@ -519,11 +637,25 @@ def pcm(samples: np.ndarray, bits: int) -> bytes:
     return flat.astype("<i2" if width == 2 else "<i4").tobytes()
 
 
-def features(x: np.ndarray) -> str:
-    """Level, zero crossings and roughness of one channel, as integers so that equal samples give equal strings."""
-    n = len(x)
-    power, cross, rough = int((x * x).sum()), int(((x[1:] < 0) != (x[:-1] < 0)).sum()), int(np.abs(np.diff(x)).sum())
-    return f"n={n};mean={int(x.sum()) * 1000 // n};power={power * 1000 // n};peak={int(np.abs(x).max())};zcr={cross * 1_000_000 // n};tv={rough * 1000 // n}"
+class Features:
+    """Level, zero crossings and roughness of one channel, block by block, as integers so that equal samples give equal strings."""
+
+    def __init__(self):
+        self.n = self.sum = self.power = self.peak = self.cross = self.rough = 0
+        self.last: np.ndarray | None = None
+
+    def add(self, x: np.ndarray) -> None:
+        self.n, self.sum, self.power = self.n + len(x), self.sum + int(x.sum()), self.power + int((x * x).sum())
+        self.peak = max(self.peak, int(np.abs(x).max(initial=0)))
+        if self.last is not None:
+            x = np.concatenate([self.last, x])
+        self.cross += int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+        self.rough += int(np.abs(np.diff(x)).sum())
+        self.last = x[-1:]
+
+    def __str__(self) -> str:
+        n = self.n
+        return f"n={n};mean={self.sum * 1000 // n};power={self.power * 1000 // n};peak={self.peak};zcr={self.cross * 1_000_000 // n};tv={self.rough * 1000 // n}"
 
 
 def payload_of(text: bytes) -> bytes:
@@ -541,10 +673,17 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 raw = buf.tobytes()
                 sizes = np.diff(off)
                 media = encode_many([payload_of(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())])
-                out = []
-                for (_, x), n, m in zip(decode_many(media), sizes.tolist(), media):
-                    back = (x[0] + 128).astype(np.uint8).tobytes()
-                    out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), features(x[0])))
+                out, blocks, digest, feature = [], PcmBlocks(1), hashlib.sha256(), Features()
+                for i, _, total, x in decode_blocks(media):
+                    if x is not None:
+                        back = (x[0] + 128).astype(np.uint8).tobytes()
+                        digest.update(back)
+                        feature.add(x[0])
+                        blocks.add(back)
+                        continue
+                    tail = blocks.read(total - UNIT, UNIT)
+                    out.append((int(sizes[i]), total, digest.hexdigest(), zlib.crc32(tail), len(media[i]), hashlib.sha256(media[i]).hexdigest(), str(feature)))
+                    blocks, digest, feature = PcmBlocks(1), hashlib.sha256(), Features()
                 cols = [pa.array([o[k] for o in out], pa.string() if k in (2, 5, 6) else pa.int64()) for k in range(7)]
                 yield pa.RecordBatch.from_arrays([tc.id_array(rows, id_col), *cols, *[pa.array(media, pa.binary())] * with_media], [id_col, *names, *["media"] * with_media])
 
@@ -563,11 +702,17 @@ def write_pcm_blocks(df: DataFrame, id_col: str, media_col: str, samples: int =
             streams = batch.column(1).to_pylist()
             for at in range(0, len(streams), 64):
                 there = [i for i in range(at, min(at + 64, len(streams))) if streams[i] is not None]
-                rows = []
-                for i, (info, x) in zip(there, decode_many([streams[i] for i in there])):
-                    for j, a in enumerate(range(0, x.shape[1], samples)):
-                        part = x[:, a : a + samples]
-                        rows.append((i, j, a, part.shape[1], info.rate, info.channels, info.bits, pcm(part, info.bits)))
+                rows, blocks = [], None
+                for k, info, total, x in decode_blocks([streams[i] for i in there]):
+                    width = info.channels * ((info.bits + 7) // 8)
+                    blocks = blocks or PcmBlocks(width)
+                    if x is not None:
+                        blocks.add(pcm(x, info.bits))
+                        continue
+                    for j, a in enumerate(range(0, total, samples)):
+                        part = blocks.read(a, samples)
+                        rows.append((there[k], j, a, len(part) // width, info.rate, info.channels, info.bits, part))
+                    blocks = None
                 if rows:
                     cols = [pa.array([r[k] for r in rows], pa.binary() if k == 7 else pa.int64()) for k in range(1, 8)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows])), *cols], [id_col, *names])

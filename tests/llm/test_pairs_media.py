@@ -318,12 +318,24 @@ def test_flac_round_trip_and_damage(spark):
     r = random.Random(6)
     payloads = [bytes(64), b"a" * 64, os.urandom(192), bytes(range(256)) * 9, (b"\x00" * 63 + b"\xff") * 40] + [os.urandom(64 * r.randint(1, 40)) for _ in range(10)]
     payloads += [bytes(int(128 + 100 * np.sin(i / 9 + j)) for i in range(64 * r.randint(1, 50))) for j in range(10)]
+    payloads.append(flac.payload_of("Where the words are plain, and the letters of the alphabet follow one another. ".encode() * 40))
+    payloads.append(bytes(int(128 + 60 * np.sin(i / 3) + r.gauss(0, 4)) for i in range(64 * 40)))
     media = flac.encode_many(payloads)
     assert [(x[0] + 128).astype(np.uint8).tobytes() for _, x in flac.decode_many(media)] == payloads
     info = flac.Info(media[3])
     with_seek = flac.find_frames(media[3], info)
     info.points = None
     assert flac.find_frames(media[3], info) == with_seek
+    kinds = {m[a + head[4]] >> 1 for m in media for a, _, head in flac.find_frames(m, flac.Info(m))}
+    assert {0, 1, 0x20 | flac.ORDER - 1} <= kinds and kinds & {8, 9, 10}
+    for m, p in zip(media[2:], payloads[2:]):
+        for first, n in ((0, 5), (len(p) - 64, 64), (len(p) // 2, 700), (1020, 10), (len(p) - 3, 99), (len(p), 4)):
+            own = flac.read_samples(m, first, n)
+            assert (own[0] + 128).astype(np.uint8).tobytes() == p[first : first + n] or first >= len(p) and own.size == 0
+    blocks = flac.PcmBlocks(2)
+    for part in (b"aabbcc", b"dd", b"", b"eeff"):
+        blocks.add(part)
+    assert all(blocks.read(a, n) == b"aabbccddeeff"[2 * a : 2 * (a + n)] for a in range(7) for n in range(8))
     bad = bytearray(media[3])
     bad[-20] ^= 1
     with pytest.raises(ValueError, match="checksum"):
@@ -337,6 +349,24 @@ def test_flac_round_trip_and_damage(spark):
     assert (np.frombuffer(back, np.int8).astype(int) + 128).astype(np.uint8).tobytes() == payloads[3]
 
 
+def test_media_long_text():
+    """A long text needs a few times its own size, not a few dozen."""
+    import resource
+
+    r = random.Random(2)
+    text = " ".join(r.choice(["alpha", "beta", "gamma", "delta", "漢字"]) + str(r.randrange(99)) for _ in range(100_000)).encode() * 16
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    media = flac.encode_many([flac.payload_of(text)])
+    back, digest = flac.PcmBlocks(1), hashlib.sha256()
+    for _, _, _, x in flac.decode_blocks(media):
+        if x is not None:
+            back.add((x[0] + 128).astype(np.uint8).tobytes())
+            digest.update(back.blocks[-1])
+    assert digest.digest() == hashlib.sha256(flac.payload_of(text)).digest() and len(media[0]) < len(text)
+    used = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024
+    assert used < 10 * len(text) + (400 << 20)
+
+
 def test_media_query(spark, sf):
     docs = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     got = registry.QUERIES["op6_media"](spark, sf).collect()
