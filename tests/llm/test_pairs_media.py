@@ -400,6 +400,64 @@ def test_language(spark):
             language.MAX_LANGUAGES = old
 
 
+def slow_language(taught, texts):
+    """[(language, score)] of texts from (text, language) pairs: letter by letter."""
+    one = {}
+
+    def letter(ch):
+        c = ord(ch.lower()) if len(ch.lower()) == 1 else ord(ch)
+        if c not in one:
+            one[c] = language.letter_vectors(np.array([c]))[0].astype(np.int64)
+        return one[c]
+
+    gap = language.letter_vectors(np.array([language.GAP]))[0].astype(np.int64)
+
+    def vector(text):
+        out = np.zeros(language.DIM, np.int64)
+        for word in "".join(ch if ch.isalpha() else " " for ch in text or "").split():
+            x = [gap, *map(letter, word), gap]
+            for a, b, c in zip(x, x[1:], x[2:]):
+                out += np.roll(a, 2) * np.roll(b, 1) * c
+        return out
+
+    sums = {}
+    for text, lang in taught:
+        v = vector(text)
+        if lang is not None and any(ch.isalpha() for ch in text or ""):
+            sums[lang] = sums.get(lang, 0) + np.rint(v / np.sqrt((v * v).sum()) * language.UNIT)
+    out = []
+    for text in texts:
+        v = vector(text).astype(float)
+        if not any(ch.isalpha() for ch in text or "") or not sums:
+            out.append(("und", 0.0))
+            continue
+        cos = {k: v @ np.rint(s / abs(s).max() * language.PEAK) / np.linalg.norm(v) / np.linalg.norm(np.rint(s / abs(s).max() * language.PEAK)) for k, s in sums.items()}
+        best = min(cos, key=lambda k: (-cos[k], k))
+        out.append((best, (1 + cos[best]) / 2))
+    return out
+
+
+def test_language_brute_force(spark):
+    """Vectors, prototypes and choice against letter by letter, scripts of all kinds, and the same in blocks of languages and in other layouts of rows."""
+    r = random.Random(12)
+    scripts = ["abcdeé", "абвгдж", "αβγδεζ", "漢字日本語文", "あいうえおか", "한국어말글자", "ABCÄÖÜ"]
+    rows = [(i, " ".join("".join(r.choice(scripts[i % 7]) for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 12))) + r.choice(["", " 12-3", "😀"]), f"l{i % 7}" if i % 5 else None) for i in range(80)]
+    rows += [(100, None, "l0"), (101, "", "l1"), (102, "123 !?", "l2"), (None, "абв", "l3"), (7, rows[7][1], rows[7][2]), (103, "ab " * 30_000, "l0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    want = sorted(((i, *w) for (i, _, _), w in zip(rows, slow_language([(t, k) for _, t, k in rows], [t for _, t, _ in rows]))), key=key)
+    for parts, most in ((1, 5000), (5, 5000), (3, 2)):
+        old, language.MAX_LANGUAGES = language.MAX_LANGUAGES, most
+        try:
+            got = sorted(map(tuple, language.identify(df, df.repartition(parts)).collect()), key=key)
+        finally:
+            language.MAX_LANGUAGES = old
+        assert [x[:2] for x in got] == [x[:2] for x in want] and all(a[2] == pytest.approx(b[2], abs=1e-12) for a, b in zip(got, want))
+        if parts == 1:
+            first = got
+        assert got == first
+
+
 def test_urls(spark):
     rows = [
         (1, "http://Www.EXAMPLE.org/es/x?q#f", "www.example.org", "/es/x", "example.org/es/", "block"), (2, "https://a.org/es/", "a.org", "/es/", "org/", "allow"), (3, "x://example.org/en/123", "example.org", "/en/123", "example.org/en/1", "block"),
