@@ -11,7 +11,7 @@ is above. That level is found by whole-table aggregates, one row each.
 
 Nothing is gathered by source: one range sort by (source, size, id) gives global row numbers from partition
 sizes, and a row's rank in its source is its number less that of the source's first row; so a source with a
-third of all rows is spread over tasks like any other. Only ids and sizes are shuffled, no text (take_mix sends whole rows through the sort).
+third of all rows is spread over tasks like any other. Only ids, sizes and hashes of rows are sorted, no text.
 
 Nulls: a null text has size 0; a null source is a source, last in order; a null id comes first in order. Ties
 and repeated rows: each row counts, in any order among equals. Documents of size 0 take 0 words; a source of
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.common import materialize, table, with_row_numbers
+from quirefold.llm.components import sized
 
 WEIGHTS, SHARE_NUM, SHARE_DEN, MOST = (3, 1, 2), 3, 2, 2
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,14 +79,25 @@ def _size(text_col: str) -> Column:
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of df: id, size, source_size, target, copies, taken."""
     sizes = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size"))
-    return _copies(sizes).select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    # written first, so that the sort's sample doesn't count words again
+    return _copies(materialize(sizes, "text-sizes")).select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def take_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of df, each as often as the mix takes it. Whole rows go through the sort, so ids may repeat or be null."""
-    sizes = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size"), F.struct(*(df[c] for c in df.columns)).alias("row"))
-    chosen = _copies(sizes).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return chosen.select("row.*")
+    """The rows of df, each as often as the mix takes it.
+
+    Only ids, sizes and hashes of rows are sorted; copies come back to the rows by id and hash, so that ids may repeat or be null, and texts
+    stay where they are while that list is small. Equal rows are one there, with the copies of all.
+    """
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), F.col(id_col).alias("id")).withColumn("key", F.xxhash64("row"))
+    sizes = rows.select("id", "key", F.col(f"row.{source_col}").cast("string").alias("source"), _size(f"row.{text_col}").alias("size"))
+    taken = _copies(materialize(sizes, "row-sizes")).groupBy("id", "key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    taken = materialize(taken.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "copies", "rows"), "row-copies")
+    chosen = rows.join(sized(taken), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    again = chosen.filter("rows > 1")
+    if not taken.filter("rows > 1").isEmpty():
+        chosen = chosen.filter("rows = 1").unionByName(again.dropDuplicates(["_id", "_key"]))
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
