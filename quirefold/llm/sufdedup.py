@@ -12,7 +12,9 @@ bytes in which no window repeats. Then
    a suffix array to the depth `length`; from its Burrows-Wheeler transform, intervals are extended to the left
    breadth first. The step in which a boundary between neighbours in the suffix order is first met is their
    common prefix, so common prefixes come out by increasing value; the expansion stops at `length`, and
-   neighbours without a boundary by then share a window.
+   neighbours without a boundary by then share a window. Only parts whose windows have a rolling hash that occurs
+   twice in the block are sorted, as other windows cannot repeat; the cost of a string therefore does not grow with
+   the number of strings that hold its minimiser.
 3. A minimiser with too many different strings for one block is split: the places that it can have in a window are
    halved, the windows of either half have more bytes than the minimiser in common, and the hash of those is their
    key; this is repeated until the groups fit or the key holds the whole window, when counting decides. So no group is ever gathered beyond a bound, and nothing is dropped.
@@ -184,6 +186,25 @@ def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
     return [same[a : a + max(0, s - length + 1)] for a, s in zip(starts.tolist(), sizes.tolist())]
 
 
+def suspects(strings: list[bytes], length: int) -> tuple[list[int], list[int], list[bytes]]:
+    """(string, offset, bytes) of the parts made of windows whose rolling hash occurs twice; all windows that repeat lie in them."""
+    sizes = np.array([len(s) for s in strings], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    count = np.maximum(sizes - length + 1, 0)
+    owner = np.repeat(np.arange(len(strings)), count)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    if not len(at):
+        return [], [], []
+    grams = tc.Hasher(np.frombuffer(b"".join(strings), np.uint8)).grams(length)
+    i = np.flatnonzero(tc.repeated(grams[starts[owner] + at]))
+    owner, at = owner[i], at[i]
+    edge = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(np.concatenate([[True], edge])) if len(i) else i
+    last = np.append(first[1:], len(i)) - 1
+    of, low, high = owner[first].tolist(), at[first].tolist(), at[last].tolist() if len(i) else []
+    return of, low, [strings[o][a : b + length] for o, a, b in zip(of, low, high)]
+
+
 def _expand(text: np.ndarray, order: Order, length: int) -> np.ndarray:
     """For each place in the suffix order, whether it shares `length` symbols with the one before, by breadth-first backward extension.
 
@@ -297,8 +318,12 @@ def _blocks(length: int):
 
     def compare(strings: dict[int, bytes]) -> pa.RecordBatch | None:
         keys = list(strings)
-        got = [(s, _spans(on, length)) for s, on in zip(keys, repeated_windows([strings[s] for s in keys], length)) if on.any()]
-        return _found(got) if got else None
+        of, low, parts = suspects([strings[s] for s in keys], length)
+        got: dict[int, list[tuple[int, int]]] = {}
+        for i, at, on in zip(of, low, repeated_windows(parts, length) if parts else []):
+            if on.any():
+                got.setdefault(keys[i], []).extend((at + a, at + b) for a, b in _spans(on, length))
+        return _found(list(got.items())) if got else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings: dict[int, bytes] = {}

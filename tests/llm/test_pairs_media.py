@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +226,24 @@ def test_windows_of_blocks():
             assert on.tolist() == [at[s[i : i + n]] > 1 for i in range(len(s) - n + 1)]
 
 
+def test_strings_of_one_minimiser_are_not_all_sorted(monkeypatch):
+    """Of many strings that share a minimiser only the parts that may repeat are put in suffix order, and their spans are those of a count."""
+    r, n, shared = random.Random(12), 40, b"the bytes of one minimiser, in all of them"[:35]
+    strings = {i: r.randbytes(30) + shared + r.randbytes(30) for i in range(1500)}
+    strings[7], strings[1400] = strings[3][:70] + b"!" * 25, b"?" * 10 + strings[3][10:80]
+    sorted_, order = [], sufdedup.Order
+    monkeypatch.setattr(sufdedup, "Order", lambda text, depth: sorted_.append(len(text)) or order(text, depth))
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(strings)), pa.array(list(strings)), pa.array(list(strings.values()), pa.binary())], ["h", "s", "string"])
+    got = {}
+    for found in sufdedup._blocks(n)(iter([batch])):
+        for s, parts in zip(*(c.to_pylist() for c in found.columns)):
+            got[s] = {i for p in parts for i in range(p["a"], p["b"])}
+    at = Counter(x[i : i + n] for x in strings.values() for i in range(len(x) - n + 1))
+    want = {s: {j for i in range(len(x) - n + 1) if at[x[i : i + n]] > 1 for j in range(i, i + n)} for s, x in strings.items()}
+    assert got == {s: w for s, w in want.items() if w} and {3, 7, 1400} <= got.keys()
+    assert sum(sorted_) < sum(map(len, strings.values())) / 20
+
+
 class Writer:
     def __init__(self):
         self.bits = []
