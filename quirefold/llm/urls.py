@@ -9,9 +9,11 @@ common one, and a rule that only repeats the share is none. A rule is found thro
 and holds if all its tokens are there; the rule of highest certainty decides, then the one with more tokens, then the
 higher support. Without any rule a URL is allowed.
 
-Itemsets are bounded: tokens that stand on exactly the same labelled pages are mined as one (a rule on them needs
-all), and of a URL's tokens at most WIDTH are mined, those whose own labels differ most from the share. WIDTH is a
-parameter of the model; all pages are counted, and all tokens of a URL are held against the rules.
+Tokens that stand on exactly the same labelled pages are mined as one (a rule on them needs all), which loses no
+rule. All tokens of a URL are mined. Their itemsets can double with each token that many pages have and others lack,
+so labelled URLs with dozens of such tokens take long; a caller of mine_rules who can do with fewer rules may give a
+width, and then of a URL's tokens only so many are mined, those whose own labels differ most from the share. The
+query gives none. All pages are counted, and all tokens of a URL are held against the rules.
 
 The query's labels are the verdicts of the fixed rules, on the pages that these decide: the mined rules carry them
 over to the other URLs. The table `labels` is one of documents, by doc_id, and isn't read.
@@ -34,7 +36,7 @@ from quirefold.common import materialize, table
 
 #: (host, path, verdict); the longest that fits wins
 FIXED = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: A rule needs so many labelled pages with its label, and this certainty. A URL has at most WIDTH mined tokens.
+#: A rule needs so many labelled pages with its label, and this certainty. WIDTH: mined tokens of a URL for callers who want a bound.
 MIN_PAGES, MIN_CERTAINTY, WIDTH = 20, 0.3, 14
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -76,14 +78,18 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != "", F.array_sort(F.array_distinct(F.concat(suffixes, segments, keys, sub, other)))).otherwise(F.array().cast("array<string>"))
 
 
-def _narrowed(sets: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """((tokens, verdict) with the tokens to be mined, one for all that stand on the same pages and at most `width` of a set; (stands, alike): a mined token and all that it stands for)."""
+def _narrowed(sets: DataFrame, width: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((tokens, verdict) with the tokens to be mined, one for all that stand on the same pages, and at most `width` of a set if given; (stands, alike): a mined token and all that it stands for)."""
     rows = materialize(sets.withColumn("row", F.monotonically_increasing_id()), "labelled-sets")
-    share = rows.groupBy("verdict").agg((F.count("*") / F.sum(F.count("*")).over(Window.partitionBy())).alias("share"))  # a row per label
     each = rows.select("row", "verdict", F.explode("tokens").alias("token"))
     # tokens of equal page sets have equal sums of hashed row numbers
     page_set = F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("set")
     by_token = each.groupBy("token").agg(F.count("*").alias("n"), page_set)
+    if width is None:
+        kinds = materialize(by_token.groupBy("n", "set").agg(F.min("token").alias("stands"), F.collect_set("token").alias("alike")), "token-kinds")
+        kept = each.join(kinds.select(F.col("stands").alias("token")), "token").groupBy("row", "verdict").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+        return kept.select("verdict", "tokens"), kinds.select("stands", "alike")
+    share = rows.groupBy("verdict").agg((F.count("*") / F.sum(F.count("*")).over(Window.partitionBy())).alias("share"))  # a row per label
     by_label = each.groupBy("token", "verdict").agg(F.count("*").alias("k")).join(F.broadcast(share), "verdict")
     # how far the labels of a token's pages are from the share of all, summed over labels
     total = by_label.groupBy("token").agg(F.sum("k").alias("all"))
@@ -94,7 +100,7 @@ def _narrowed(sets: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     return kept.select("verdict", F.slice(F.col("t.token"), 1, width).alias("tokens")), kinds.select("stands", "alike")
 
 
-def mine_rules(sets: DataFrame, min_pages: int = MIN_PAGES, min_certainty: float = MIN_CERTAINTY, width: int = WIDTH) -> DataFrame:
+def mine_rules(sets: DataFrame, min_pages: int = MIN_PAGES, min_certainty: float = MIN_CERTAINTY, width: int | None = None) -> DataFrame:
     """(tokens, verdict, confidence, certainty, support, rarest) from (tokens, verdict) rows, one per labelled page; none from fewer than min_pages."""
     from pyspark.ml.fpm import FPGrowth
 

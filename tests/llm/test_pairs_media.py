@@ -569,6 +569,21 @@ def test_urls_rare_label_and_bounds(spark):
     assert sum(t.startswith("host:") for t in tokens) == 13 and "depth:15" in tokens
 
 
+def test_urls_wide_sets(spark):
+    """A rule of two tokens that tell nothing each is counted over all pages, however many tokens these have."""
+    r = random.Random(5)
+    sets = [([f"p{i % 2}", f"q{i // 2 % 2}", *(f"f{j:02}" for j in range(13) if r.random() < 0.97)], "block" if i % 2 == i // 2 % 2 else "allow") for i in range(200)]
+    assert max(len(t) for t, _ in sets) > urls.WIDTH
+    rules = urls.mine_rules(spark.createDataFrame(sets, "tokens array<string>, verdict string"))
+    got = {(tuple(x.tokens), x.verdict): (x.confidence, round(x.support * 200)) for x in rules.filter(F.size("tokens") == 2).collect()}
+    pairs = {(p, q): "block" if p[1] == q[1] else "allow" for p in ("p0", "p1") for q in ("q0", "q1")}
+    assert {k: v for k, v in got.items() if k[0] in pairs} == {(t, v): (1.0, 50) for t, v in pairs.items()}
+    wide = max((t for t, _ in sets), key=len)  # with all the others, too
+    n = sum(set(t) >= set(wide) for t, _ in sets)
+    full = rules.filter(F.size("tokens") == len(wide)).filter(F.array_contains("tokens", wide[0]) & F.array_contains("tokens", wide[1])).collect()
+    assert [round(x.support * 200) for x in full] == [n] * (n >= urls.MIN_PAGES)
+
+
 def test_urls_base_against_sql(spark):
     """Host, path and rule of all pages against DuckDB, and the verdict where a fixed rule decides."""
     import duckdb
