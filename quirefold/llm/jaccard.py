@@ -218,6 +218,7 @@ def _ranked(groups: DataFrame, texts: DataFrame, width: int, hot: int) -> tuple[
         if hots.isEmpty():
             rows = rows.join(counts, "token").filter("rank < p").select("token", "g", "n", "p", F.col("rank").alias("r"))
             return materialize(rows, "prefix-rows"), rows.limit(0).select("g", "n", F.lit(0).cast("long").alias("sig"), "token")
+        hots = sized(hots)  # else all token rows would be shuffled in each round, only to be counted by group
         n_hot = rows.join(hots, "token").groupBy("g").agg(F.count("*").alias("n_hot"))
         short = heads.join(n_hot, "g").filter(~F.col("whole") & (F.size("head") - F.col("n_hot") < F.col("p"))).select("g")
         short = materialize(short, "short-heads")
@@ -229,7 +230,7 @@ def _ranked(groups: DataFrame, texts: DataFrame, width: int, hot: int) -> tuple[
     # heads without a hot token are in order as they are; the others are put in order, rare tokens by hash, then hot ones, rarer classes first
     mixed = materialize(n_hot.select("g"), "groups-with-hot")
     plain = heads.join(sized(mixed), "g", "left_anti").select("g", "n", "p", F.posexplode(F.slice("head", F.lit(1), F.col("p").cast("int"))).alias("r", "token"))
-    own = rows.join(sized(hots), "token").groupBy("g").agg(F.collect_list(F.struct("rank", F.floor(F.log2("df")).cast("int").alias("l"))).alias("hots"))  # at most a text's own tokens
+    own = rows.join(hots, "token").groupBy("g").agg(F.collect_list(F.struct("rank", F.floor(F.log2("df")).cast("int").alias("l"))).alias("hots"))  # at most a text's own tokens
     order = "g long, n long, p long, r int, token long, hot boolean, dense boolean, sig long"
     mixed = materialize(heads.join(sized(mixed), "g", "left_semi").join(own, "g").select("g", "n", "p", "head", "hots.rank", "hots.l").mapInArrow(_order, order), "ordered-heads")
     rare = plain.unionByName(mixed.filter("not hot").select("g", "n", "p", "r", "token")).join(counts.select("token"), "token")

@@ -569,6 +569,23 @@ def test_urls_rare_label_and_bounds(spark):
     assert sum(t.startswith("host:") for t in tokens) == 13 and "depth:15" in tokens
 
 
+def test_hot_tokens_go_to_the_heads(spark, monkeypatch):
+    """Hot tokens are counted by group without a shuffle of all token rows."""
+    plans, write = {}, jaccard.materialize
+
+    def until_short(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        if name == "short-heads":
+            raise InterruptedError
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard, "materialize", until_short)
+    groups = spark.createDataFrame([(g, 4, 1, [1, 2, 3, 10 + g]) for g in range(9)], "g long, n long, p long, head array<long>")
+    with pytest.raises(InterruptedError):
+        jaccard._ranked(groups, None, 5, 4)
+    assert "strategy=broadcast" in plans["short-heads"]
+
+
 def test_urls_wide_sets(spark):
     """A rule of two tokens that tell nothing each is counted over all pages, however many tokens these have."""
     r = random.Random(5)
