@@ -9,7 +9,7 @@ among the first p(x), p(y) of any common order of tokens, with p(n) = n - ceil(n
    Where a head has fewer than p others, as in texts that share long notices, it is made anew from all tokens of the
    text, until every group has its p rare tokens or has been seen whole. The latter are `dense`: more than
    100 - PERCENT % of their tokens are hot.
-3. Rare tokens of prefixes are joined: at most HOT groups meet at one. Pairs of groups (length filter) are reduced
+3. Rare tokens of prefixes are joined, but for those that a Bloom filter shows to be of one head: at most HOT groups meet at one. Pairs of groups (length filter) are reduced
    to one row (map-side combine) and filtered by the differences that their prefixes already show. Whatever a
    dense group shares with one that isn't dense is found here, as the latter's prefix is all rare.
 4. Dense groups that share hot tokens alone are a few large clusters, whose pairs are never listed. They collapse
@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +53,8 @@ WIDTH, PERCENT, HOT, BLOCK = 5, 90, 64, 256
 SIGNATURE = 3
 #: Tokens of a class from which it takes the room of several in a block.
 LONG_SET = 1000
+#: Bits of a bitmap of shared tokens.
+MAP_BITS = 1 << 15
 #: Numbers from here on stand for rows without id.
 NO_ID = 1 << 62
 
@@ -207,53 +210,100 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _ranked(groups: DataFrame, texts: DataFrame, width: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """(rows, dense) of groups (g, n, p, head). rows: (token, g, n, p, r), the rare tokens of each prefix that two groups share; dense: (g, n, sig, token), the hot ones of dense groups with their first ones' hash.
 
-    Each round makes the heads of groups whose rare tokens don't suffice anew from their whole texts, counts all
-    tokens again, and ends when no group needs it.
+    Each round makes the heads of groups whose rare tokens don't suffice anew from their whole texts, adds the tokens
+    that they didn't have to the counts, and ends when no group needs it. Tokens of one head aren't kept, so one that
+    comes later is counted as if a head had it before: at most once too often, and any counts give an exact order.
     """
-    heads, whole = groups.withColumn("whole", F.size("head") >= F.col("n")), None
+    heads = groups.withColumn("whole", F.size("head") >= F.col("n"))
+    counts = materialize(heads.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "tokens")
+    prefix = "g long, n long, p long, r int, token long, hot boolean, dense boolean, sig long"
     while True:
-        rows = heads.select("g", "n", "p", "whole", F.posexplode("head").alias("rank", "token"))
-        counts = materialize(rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "tokens")
+        rows = heads.select("g", F.posexplode("head").alias("rank", "token"))
         hots = counts.filter(F.col("df") > hot).select("token", "df")
         if hots.isEmpty():
-            rows = rows.join(counts, "token").filter("rank < p").select("token", "g", "n", "p", F.col("rank").alias("r"))
-            return materialize(rows, "prefix-rows"), rows.limit(0).select("g", "n", F.lit(0).cast("long").alias("sig"), "token")
+            rows = heads.select("g", "n", "p", "head").mapInArrow(_order(_shared(counts)), prefix)
+            return materialize(rows.select("token", "g", "n", "p", "r").join(counts.select("token"), "token"), "prefix-rows"), rows.limit(0).select("g", "n", "sig", "token")
         hots = sized(hots)  # else all token rows would be shuffled in each round, only to be counted by group
         n_hot = rows.join(hots, "token").groupBy("g").agg(F.count("*").alias("n_hot"))
-        short = heads.join(n_hot, "g").filter(~F.col("whole") & (F.size("head") - F.col("n_hot") < F.col("p"))).select("g")
-        short = materialize(short, "short-heads")
+        spare = heads.filter(~F.col("whole")).select("g", (F.size("head") - F.col("p")).alias("spare"))  # heads themselves stay where they are
+        short = materialize(spare.join(n_hot, "g").filter("spare < n_hot").select("g"), "short-heads")
         if short.isEmpty():
             break
         more = texts.join(sized(short), texts["key"] == short["g"]).select("g", "text").mapInArrow(_sets(width), "g long, tokens array<long>").dropDuplicates(["g"])
-        longer = groups.select("g", "n", "p").join(more, "g").select("g", "n", "p", F.col("tokens").alias("head"), F.lit(True).alias("whole"))
-        heads = materialize(heads.join(sized(short), "g", "left_anti").select("g", "n", "p", "head", "whole").unionByName(longer), "heads")
+        longer = materialize(groups.select("g", "n", "p", F.size("head").alias("had")).join(more, "g").select("g", "n", "p", F.col("tokens").alias("head"), F.lit(True).alias("whole"), "had"), "longer-heads")
+        new = longer.select("had", F.posexplode("head").alias("rank", "token")).filter("rank >= had").groupBy("token").agg(F.count("*").alias("more"))
+        counts = materialize(counts.join(new, "token", "full").select("token", (F.coalesce("df", F.lit(1)) + F.coalesce("more", F.lit(0))).alias("df")), "tokens")
+        heads = materialize(heads.join(sized(short), "g", "left_anti").select("g", "n", "p", "head", "whole").unionByName(longer.drop("had")), "heads")
     # heads without a hot token are in order as they are; the others are put in order, rare tokens by hash, then hot ones, rarer classes first
+    order = _order(_shared(counts))
     mixed = materialize(n_hot.select("g"), "groups-with-hot")
-    plain = heads.join(sized(mixed), "g", "left_anti").select("g", "n", "p", F.posexplode(F.slice("head", F.lit(1), F.col("p").cast("int"))).alias("r", "token"))
+    plain = heads.join(sized(mixed), "g", "left_anti").select("g", "n", "p", "head").mapInArrow(order, prefix)
     own = rows.join(hots, "token").groupBy("g").agg(F.collect_list(F.struct("rank", F.floor(F.log2("df")).cast("int").alias("l"))).alias("hots"))  # at most a text's own tokens
-    order = "g long, n long, p long, r int, token long, hot boolean, dense boolean, sig long"
-    mixed = materialize(heads.join(sized(mixed), "g", "left_semi").join(own, "g").select("g", "n", "p", "head", "hots.rank", "hots.l").mapInArrow(_order, order), "ordered-heads")
-    rare = plain.unionByName(mixed.filter("not hot").select("g", "n", "p", "r", "token")).join(counts.select("token"), "token")
+    mixed = materialize(heads.join(sized(mixed), "g", "left_semi").join(own, "g").select("g", "n", "p", "head", "hots.rank", "hots.l").mapInArrow(order, prefix), "ordered-heads")
+    rare = plain.unionByName(mixed.filter("not hot")).select("token", "g", "n", "p", "r").join(counts.select("token"), "token")
     return materialize(rare, "prefix-rows"), mixed.filter("dense and hot").select("g", "n", "sig", "token")
 
 
-def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefixes of heads (g, n, p, head, ranks and classes of its hot tokens) in the common order."""
-    for batch in batches:
-        cols: list[list[np.ndarray]] = [[] for _ in range(8)]
-        g, n, p = (batch.column(i).to_pylist() for i in range(3))
-        for i in range(batch.num_rows):
-            head = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
-            level = np.zeros(len(head), np.int32)
-            level[batch.column(4)[i].values.to_numpy()] = batch.column(5)[i].values.to_numpy()
-            first = np.argsort(level, kind="stable")[: p[i]]
-            hot = level[first] > 0
-            sig = int(tc.mix(head[first[hot][:SIGNATURE]].view(np.uint64) + tc.WORD_MULT[2]).sum())
-            m = len(first)
-            for c, x in zip(cols, (np.full(m, g[i]), np.full(m, n[i]), np.full(m, p[i]), np.arange(m, dtype=np.int32), head[first], hot, np.full(m, hot.any()), np.full(m, sig, np.uint64).view(np.int64))):
-                c.append(x)
-        if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["g", "n", "p", "r", "token", "hot", "dense", "sig"])
+def _shared(counts: DataFrame) -> Broadcast:
+    """A Bloom filter of the tokens, for the workers: most tokens are of one head and need not be shuffled to be dropped. 32 MB at most, then less sharp.
+
+    Bitmaps of MAP_BITS, chosen by the lowest bits of a token, as heads are made of the tokens with the least highest ones.
+    """
+    count = counts.count()
+    maps = 1 << min(13, max(0, (8 * count // MAP_BITS).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            tokens = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            which, places = _places(tokens, maps)
+            for m in np.unique(which).tolist():
+                own = bits.setdefault(m, np.zeros(MAP_BITS, bool))
+                for at in places:
+                    own[at[which == m]] = True
+        if bits:
+            yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in bits.values()], pa.binary())], ["m", "bits"])
+
+    by_map = counts.select("token", F.col("token").bitwiseAND(F.lit(maps - 1)).alias("m")).repartition("m").mapInArrow(run, "m long, bits binary")
+    out = np.zeros((maps, MAP_BITS // 8), np.uint8)
+    for m, bits in by_map.toLocalIterator():
+        out[m] = np.frombuffer(bits, np.uint8)
+    return counts.sparkSession.sparkContext.broadcast(out)
+
+
+def _places(tokens: np.ndarray, maps: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The bitmap of each token, and its places there."""
+    which = (tokens & np.uint64(maps - 1)).astype(np.int64)
+    return which, [(tokens >> np.uint64(s) & np.uint64(MAP_BITS - 1)).astype(np.int64) for s in (13, 28)]
+
+
+def _order(shared: Broadcast):
+    """Prefixes of heads (g, n, p, head; where there are any, ranks and classes of hot tokens) in the common order, without rare tokens that no other head has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = shared.value
+        for batch in batches:
+            cols: list[list[np.ndarray]] = [[] for _ in range(8)]
+            g, n, p = (batch.column(i).to_pylist() for i in range(3))
+            for i in range(batch.num_rows):
+                head = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
+                first, hot = np.arange(min(p[i], len(head))), np.zeros(min(p[i], len(head)), bool)
+                if batch.num_columns > 4:
+                    level = np.zeros(len(head), np.int32)
+                    level[batch.column(4)[i].values.to_numpy()] = batch.column(5)[i].values.to_numpy()
+                    first = np.argsort(level, kind="stable")[: p[i]]
+                    hot = level[first] > 0
+                tokens = head[first]
+                sig = int(tc.mix(tokens[hot][:SIGNATURE].view(np.uint64) + tc.WORD_MULT[2]).sum())
+                which, places = _places(tokens.view(np.uint64), len(maps))
+                kept = np.flatnonzero(hot | np.logical_and.reduce([maps[which, at >> 3] >> (at & 7) & 1 == 1 for at in places]))
+                m = len(kept)
+                for c, x in zip(cols, (np.full(m, g[i]), np.full(m, n[i]), np.full(m, p[i]), kept.astype(np.int32), tokens[kept], hot[kept], np.full(m, hot.any()), np.full(m, sig, np.uint64).view(np.int64))):
+                    c.append(x)
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["g", "n", "p", "r", "token", "hot", "dense", "sig"])
+
+    return run
 
 
 def _group_pairs(rows: DataFrame, percent: int) -> DataFrame:

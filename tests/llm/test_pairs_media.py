@@ -586,6 +586,23 @@ def test_hot_tokens_go_to_the_heads(spark, monkeypatch):
     assert "strategy=broadcast" in plans["short-heads"]
 
 
+def test_tokens_of_one_head_are_not_sorted(spark, monkeypatch):
+    """Rounds add to the counts of tokens, and rare tokens that no other head has go before the join by token."""
+    seen, write = {}, jaccard.materialize
+
+    def spy(df, name):
+        files = df.inputFiles() if name == "tokens" else []
+        seen.setdefault(name, []).append((files, write(df, name)))
+        return seen[name][-1][1]
+
+    monkeypatch.setattr(jaccard, "materialize", spy)
+    assert count_candidates(spark, boilerplate(6, 300)) == (0, 0)
+    assert len(seen["tokens"]) > 1 and all(any(f.endswith("-tokens") or "-tokens/" in f for f in files) for files, _ in seen["tokens"][1:])
+    rare = seen["ordered-heads"][0][1].filter("not hot")
+    shared = rare.join(seen["tokens"][-1][1], "token", "left_semi").count()
+    assert shared == seen["prefix-rows"][0][1].count() and rare.count() - shared < 300
+
+
 def test_urls_wide_sets(spark):
     """A rule of two tokens that tell nothing each is counted over all pages, however many tokens these have."""
     r = random.Random(5)
