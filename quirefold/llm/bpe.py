@@ -222,7 +222,7 @@ def _lists(ids: list[bytes]) -> pa.Array:
 
 
 def with_tokens(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """df with n_tokens and ids (array of int) after its columns; the ids are decoded and held against the text."""
+    """df with n_tokens and ids (array of int) after its columns; the ids are decoded and held against the text. Copies of a text that follow each other, as in a mix, are encoded once."""
     ship(df.sparkSession)
     if path is None or pattern is None:
         path, pattern = path or default_ranks()[0], pattern or default_ranks()[1]
@@ -230,12 +230,16 @@ def with_tokens(df: DataFrame, text_col: str = "text", path: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
+        last, x = "", b""
         for batch in batches:
             for rows, buf, off in tc.slices(batch, text_col):
-                texts = list(_texts(buf, off))
-                ids = [bpe.encode_bytes(t) for t in texts]
-                if any(bpe.decode_bytes(x) != t.encode() for x, t in zip(ids, texts)):
-                    raise ValueError("decoding the ids doesn't give the text back")
+                ids = []
+                for t in _texts(buf, off):
+                    if t != last:
+                        last, x = t, bpe.encode_bytes(t)
+                        if bpe.decode_bytes(x) != t.encode():
+                            raise ValueError("decoding the ids doesn't give the text back")
+                    ids.append(x)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), _lists(ids)], [*rows.schema.names, "n_tokens", "ids"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])

@@ -408,7 +408,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     id_type = texts.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("start", T.LongType()), T.StructField("windows", T.ShortType()), T.StructField("at", T.ShortType()), T.StructField("h", T.LongType()), T.StructField("s", T.LongType())])
-    all_runs = texts.filter(F.length("text") >= length).mapInArrow(_minimizers(length, k), schema)
+    all_runs = materialize(texts.filter(F.length("text") >= length).mapInArrow(_minimizers(length, k), schema), "all-runs")  # else windows are hashed twice
     # one row per minimiser: whether it occurs twice, and in different strings
     by_min = all_runs.groupBy("h").agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).filter("n > 1")
     by_min = by_min.select("h", (F.col("lo") != F.col("hi")).alias("mixed"))

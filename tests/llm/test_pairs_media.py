@@ -603,6 +603,25 @@ def test_tokens_of_one_head_are_not_sorted(spark, monkeypatch):
     assert shared == seen["prefix-rows"][0][1].count() and rare.count() - shared < 300
 
 
+def test_windows_are_hashed_once(spark, monkeypatch):
+    """Each text goes through the rolling hashes once."""
+    seen, make = spark.sparkContext.accumulator(0), sufdedup._minimizers
+
+    def counted(length, k):
+        run = make(length, k)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield from run(iter([batch]))
+
+        return count
+
+    monkeypatch.setattr(sufdedup, "_minimizers", counted)
+    texts = [(i, "".join(chr(97 + (j * j * (i % 5 + 1)) % 23) for j in range(300 + i))) for i in range(20)]
+    assert sufdedup.repeated_spans(spark.createDataFrame(texts, PAIR)).count() == 20 and seen.value == 20
+
+
 def test_urls_wide_sets(spark):
     """A rule of two tokens that tell nothing each is counted over all pages, however many tokens these have."""
     r = random.Random(5)

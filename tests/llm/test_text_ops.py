@@ -93,6 +93,24 @@ def test_bpe(spark):
     assert bpe.encode_bpe(empty(spark)).count() == 0 and bpe.with_tokens(empty(spark)).count() == 0
 
 
+def test_tokens_of_copies(spark, monkeypatch):
+    """Copies that follow each other, across batches too, are encoded once and all get their ids."""
+    calls, encode = [], bpe.Bpe.encode_bytes
+    monkeypatch.setattr(bpe.Bpe, "encode_bytes", lambda self, t: calls.append(t) or encode(self, t))
+
+    class Frame:
+        sparkSession, schema = spark, spark.createDataFrame([], "text string").schema  # noqa: N815
+        drop = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run  # noqa: E731, N815
+
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(x, pa.string())}) for x in (["", "one two", "one two"], ["one two", "b", None, "b", "b"])]
+    out = [r for b in bpe.with_tokens(Frame())(iter(batches)) for r in b.to_pylist()]
+    assert calls.count("one two") == 1 and calls.count("b") == 2
+    coder = bpe.coder(*bpe.default_ranks())
+    assert [r["text"] for r in out] == [t for b in batches for t in b.column(0).to_pylist()]
+    assert [r["ids"] for r in out] == [np.frombuffer(encode(coder, r["text"] or ""), "<u4").tolist() for r in out] and all(r["n_tokens"] == len(r["ids"]) for r in out)
+
+
 def test_bpe_classes():
     coder = bpe.coder(*bpe.default_ranks())
     for c in range(256):
