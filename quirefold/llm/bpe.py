@@ -221,13 +221,15 @@ def _lists(ids: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(ids), "<u4").view(np.int32)))
 
 
-def with_tokens(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """df with n_tokens and ids (array of int) after its columns; the ids are decoded and held against the text. Copies of a text that follow each other, as in a mix, are encoded once."""
+def with_tokens(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None, keep_text: bool = True) -> DataFrame:
+    """df with n_tokens and ids (array of int) after its columns, of which the text can be left out, so that it needn't come back from Python; the ids are decoded and held against the text. Copies of a text that follow each other, as in a mix, are encoded once."""
     ship(df.sparkSession)
     if path is None or pattern is None:
         path, pattern = path or default_ranks()[0], pattern or default_ranks()[1]
     df = df.drop("n_tokens", "ids")
+    kept = [i for i, c in enumerate(df.schema.names) if keep_text or c != text_col]
 
+    @tc.thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
         last, x = "", b""
@@ -240,9 +242,9 @@ def with_tokens(df: DataFrame, text_col: str = "text", path: str | None = None,
                         if bpe.decode_bytes(x) != t.encode():
                             raise ValueError("decoding the ids doesn't give the text back")
                     ids.append(x)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), _lists(ids)], [*rows.schema.names, "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([*map(rows.column, kept), pa.array([len(x) // 4 for x in ids], pa.int64()), _lists(ids)], [*(rows.schema.names[i] for i in kept), "n_tokens", "ids"])
 
-    schema = T.StructType([*df.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
     return df.mapInArrow(run, schema)
 
 

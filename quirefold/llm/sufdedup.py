@@ -267,6 +267,7 @@ def _spans(on: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def _minimizers(length: int, k: int):
+    @tc.thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in tc.slices(batch, "text"):
@@ -283,6 +284,7 @@ def _minimizers(length: int, k: int):
 def _fetch(length: int):
     """From (id, text, asks: array of (start, windows, at, h, s)): the strings asked for."""
 
+    @tc.thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, texts, asks = batch.columns
@@ -325,6 +327,7 @@ def _blocks(length: int):
                 got.setdefault(keys[i], []).extend((at + a, at + b) for a, b in _spans(on, length))
         return _found(list(got.items())) if got else None
 
+    @tc.thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings: dict[int, bytes] = {}
         group, size = None, 0
@@ -350,6 +353,7 @@ def _split_keys(length: int, k: int, depth: int):
     wide = length - k + 1
     step = -(-wide // (1 << depth))
 
+    @tc.thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, s, at, string = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("h", "s", "at", "string"))
@@ -479,6 +483,7 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [*df.columns, "_spans"]
     t, s = names.index(text_col), len(df.columns)
 
+    @tc.thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(t).to_pylist()

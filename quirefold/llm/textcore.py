@@ -1,12 +1,15 @@
 """Vectorised text primitives on Arrow buffers: slices of bounded size, words, rolling hashes.
 
 Texts are seen as UTF-8 bytes. A slice joins whole texts of at most SLICE_BYTES together (a longer
-text is a slice of its own), so that memory follows the slice and not the Arrow batch.
+text is a slice of its own), so that memory follows the slice and not the Arrow batch. Workers outlive their tasks;
+`thrifty` makes them give back what a task has freed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +87,32 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, n
         a = b
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system; else Arrow's pool and malloc keep some hundred MB for a worker's next task, whichever that is."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function for mapInArrow, with memory given back when it ends, in whatever way."""
+
+    @wraps(run)
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return runs
+
+
 class Hasher:
     """Rolling hash of any byte range of a buffer: equal bytes, equal value."""
 

@@ -662,6 +662,39 @@ def test_hasher():
             assert (g[i] == g[j]) == (buf[i : i + 3].tobytes() == buf[j : j + 3].tobytes())
 
 
+def test_workers_give_memory_back():
+    """What a task has freed is the system's again when it ends, in a process of its own as a worker is."""
+    import subprocess
+    import sys
+
+    code = """
+import ctypes, random, re
+import pyarrow as pa
+from quirefold.llm import sufdedup, textcore
+def mb():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+def task(seed):
+    r = random.Random(seed)
+    common = r.randbytes(220)
+    for at in range(0, 2_400, 100):
+        strings = [r.randbytes(200) + common + r.randbytes(200) for _ in range(100)]
+        yield pa.RecordBatch.from_pydict({"h": pa.array([7] * 100), "s": pa.array(range(at, at + 100)), "string": pa.array(strings, pa.binary())})
+run = sufdedup._blocks(200)
+def found():
+    return sum(b.num_rows for b in run(task(1)))
+small = [b.num_rows for b in run(b.slice(0, 3) for b in [next(task(2))])]
+textcore._powers(2_400 * 620 + 1)  # these are kept
+pa.default_memory_pool().release_unused()
+ctypes.CDLL(None).malloc_trim(0)
+before = mb()
+assert found() == 2_400 and small == [3]
+print(mb() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert out.returncode == 0, out.stderr
+    assert float(out.stdout) < 8
+
+
 def test_pipeline(spark, sf):
     """Stage by stage against brute force on what the stage before kept."""
     import base64

@@ -111,6 +111,22 @@ def test_tokens_of_copies(spark, monkeypatch):
     assert [r["ids"] for r in out] == [np.frombuffer(encode(coder, r["text"] or ""), "<u4").tolist() for r in out] and all(r["n_tokens"] == len(r["ids"]) for r in out)
 
 
+def test_tokens_without_texts(spark, sf):
+    """The texts don't come back from Python where they aren't wanted."""
+    import corpus_pipeline
+
+    df = odd(spark)
+    out = bpe.with_tokens(df, keep_text=False)
+    assert out.columns == [c for c in df.columns if c not in ("ids", "text")] + ["n_tokens", "ids"]
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, bpe.with_tokens(df).drop("text").collect()))
+    stage = corpus_pipeline.tokens(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    plan = stage._jdf.queryExecution().optimizedPlan()
+    while "MapInArrow" not in plan.nodeName():
+        plan = plan.children().head()
+    names = plan.output().mkString(" ")
+    assert "ids#" in names and "text#" not in names
+
+
 def test_bpe_classes():
     coder = bpe.coder(*bpe.default_ranks())
     for c in range(256):
