@@ -17,6 +17,13 @@ _SHIPPED = "_quirefold_shipped"
 #: Bytes of an Arrow batch between the JVM and Python, where the session doesn't set it: whole texts are long.
 _BATCH_KEY, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 _LOCAL_DIR: str | None = None
+#: Without its native library Hadoop starts a program, chmod, for each file and folder that it makes in a local folder. So tables get no
+#: marker and no checksum files; Parquet's own checksums of pages are verified instead.
+_WRITE = {
+    "compression": "zstd", "parquet.page.write-checksum.enabled": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true",
+}
+_READ = {"parquet.page.verify-checksum.enabled": "true"}
 
 
 def ship(spark: SparkSession) -> None:
@@ -61,8 +68,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quirefold/{uuid.uuid4().hex}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    full = path if ":" in path.partition("/")[0] else (spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///").rstrip("/") + path
+    if full.startswith("file:/"):  # the folders that the committer would make
+        os.makedirs(f"/{full[5:].lstrip('/')}/_temporary/0/_temporary")
+    df.write.mode("append").options(**_WRITE).parquet(path)
+    return spark.read.schema(df.schema).options(**_READ).parquet(path)
 
 
 def with_row_numbers(df: DataFrame, name: str, *order: Column, column: str = "g") -> DataFrame:

@@ -92,6 +92,7 @@ def _i64(values: list[int]) -> pa.Array:
 
 
 def _heads(width: int, percent: int):
+    @tc.thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in tc.slices(batch, "text"):
@@ -107,6 +108,7 @@ def _heads(width: int, percent: int):
 
 
 def _sets(width: int):
+    @tc.thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in tc.slices(batch, "text"):
@@ -171,6 +173,7 @@ def _cells(percent: int):
         for x in np.flatnonzero(linked.any(1)).tolist():
             yield cls[x], int(weight[x]), cls[root[x]]
 
+    @tc.thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows = None, []
         for batch in batches:
@@ -252,6 +255,7 @@ def _shared(counts: DataFrame) -> Broadcast:
     count = counts.count()
     maps = 1 << min(13, max(0, (8 * count // MAP_BITS).bit_length()))
 
+    @tc.thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -280,6 +284,7 @@ def _places(tokens: np.ndarray, maps: int) -> tuple[np.ndarray, list[np.ndarray]
 def _order(shared: Broadcast):
     """Prefixes of heads (g, n, p, head; where there are any, ranks and classes of hot tokens) in the common order, without rare tokens that no other head has."""
 
+    @tc.thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = shared.value
         for batch in batches:

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import shutil
 import zlib
 from collections import Counter
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quirefold import common
 from quirefold.llm import flac, jaccard, language, registry, sufdedup, textcore, urls
 from quirefold.llm.components import connected_components
 from tests.llm.test_text_ops import DOC, WORD, empty, odd
@@ -695,6 +697,57 @@ print(mb() - before)
     assert float(out.stdout) < 8
 
 
+def test_jaccard_workers_give_memory_back(monkeypatch):
+    """Each function of the join that runs in a worker gives back what a task has freed, also when the task's rows aren't all read."""
+    calls = []
+    monkeypatch.setattr(textcore, "release", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"key": pa.array([1, 2, 3]), "text": [f"{i} a b c d e f g" for i in range(3)]})
+    heads = next(iter(jaccard._heads(5, 90)(iter([batch]))))
+    sets = next(iter(jaccard._sets(5)(iter([batch]))))
+    assert heads.num_rows == sets.num_rows == 3 and len(calls) == 2
+    shared = type("", (), {"value": np.full((1, jaccard.MAP_BITS // 8), 255, np.uint8)})
+    ordered = list(jaccard._order(shared)(iter([pa.RecordBatch.from_arrays([heads.column(i) for i in (0, 1, 2, 6)], ["g", "n", "p", "head"])])))
+    assert [b.num_rows for b in ordered] == [sum(heads.column(2).to_pylist())] and len(calls) == 3
+    cells = [sets.column(0), *[pa.array([7] * 3)] * 3, pa.array([1] * 3), sets.column(1)]
+    rows = pa.RecordBatch.from_arrays(cells, ["cls", "lo", "hi", "block", "copies", "tokens"])
+    assert list(jaccard._cells(60)(iter([rows])))[0].num_rows == 3 and len(calls) == 4
+
+
+def test_tables_start_few_programs(spark, tmp_path):
+    """Hadoop starts chmod for each file and folder of a local table: two for each part are left. Damage is found without its checksum files."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    noise = spark.range(0, 3000, 1, 3).select("id", F.sha2(F.col("id").cast("string"), 512).alias("x"), F.unhex(F.sha2(F.col("id").cast("string"), 512)).alias("y"))
+    df = common.materialize(noise, "noise-rows")
+    assert sorted(df.collect()) == sorted(noise.collect())
+    folder = max((f for f in Path(common.shared_dir(spark).removeprefix("file://")).glob("quirefold/*-noise-rows")), key=lambda f: f.stat().st_mtime)
+    files = sorted(folder.iterdir())
+    assert len(files) == 3 and all(f.name.startswith("part-") for f in files)
+    data = bytearray(files[0].read_bytes())
+    at = data.find(hashlib.sha512(b"5").digest())  # these bytes aren't compressed
+    assert at > 0
+    data[at + 9] ^= 1
+    files[0].write_bytes(data)
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        spark.read.schema(df.schema).options(**common._READ).parquet(str(folder)).collect()
+
+    log, chmod = tmp_path / "log", tmp_path / "chmod"
+    chmod.write_text(f'#!/bin/sh\necho "$*" >> {log}\nexec {shutil.which("chmod")} "$@"\n')
+    chmod.chmod(0o755)
+    code = """
+from pyspark.sql import SparkSession
+from quirefold.common import materialize
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print(materialize(spark.range(0, 300, 1, 3), "counted-rows").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET", "SPARK_ENV_LOADED")} | {"PATH": f"{tmp_path}:{os.environ['PATH']}"}
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))), env=env)
+    assert out.stdout.split()[-1:] == ["300"], out.stderr
+    assert len([x for x in log.read_text().splitlines() if "counted-rows" in x]) <= 6
+
+
 def test_pipeline(spark, sf):
     """Stage by stage against brute force on what the stage before kept."""
     import base64
