@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.common import materialize
 from quirefold.functions.lexer import MAX_WORD
 from quirefold.operators import index, regex_search, search, sinks, trees
 from quirefold.operators import units as unit_ops
@@ -60,11 +61,15 @@ class Corpus:
 class Archives:
     """Help archives at a path (file, folder or pattern)."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, only: str = ""):
+        self.spark, self.path, self.only = spark, path, only
+
+    def without_index(self) -> Archives:
+        """Those that have no word index of their own; the others are left as soon as their directory is read."""
+        return Archives(self.spark, self.path, "without_index")
 
     def _table(self, what: str) -> DataFrame:
-        return read_chm(self.spark, self.path, what)
+        return read_chm(self.spark, self.path, what, self.only)
 
     def info(self) -> DataFrame:
         return self._table("archives")
@@ -122,6 +127,7 @@ class Archives:
         # a table per word, as each filter is taken by its reader, and one reader takes but one
         parts = [self._table("fts").filter(t) for t in test]
         fts = reduce(lambda a, b: a.unionByName(b), parts).dropDuplicates(["archive_id", "word", "context", "doc_id"]) if parts else self._table("fts").limit(0)
+        fts = materialize(fts, "found")  # they are gone through several times below, and reading them opens all archives
         fts = fts.filter("context = 1") if titles_only else fts
         terms = search.query_terms(self.spark, [(0, query)], word_chars="", prefix=not whole_words)
         key = F.struct("archive_id", "url")
@@ -144,8 +150,7 @@ class Archives:
         """(archive_id, url, topic, score, rank): in the own index of the archives that have one, over the texts of the others. By regular expressions, if asked for, the matching ones of all USER objects."""
         if regex:
             return Corpus(self._user_objects()).search(query, regex=True, limit=limit)
-        without = self.info().filter("not has_index").select("archive_id")
-        texts = self.corpus(self.documents().join(without, "archive_id", "left_semi"))
+        texts = self.without_index().corpus()
         found = texts.search_found([(0, query)], whole_words, titles_only)
         found = search.with_titles(found, texts.docs).select("doc_id.archive_id", F.col("path").alias("url"), "topic", "score")
         return self._numbered(self._match_own(query, whole_words, titles_only).unionByName(found), limit)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirefold.functions import lexer
-from quirefold.common import with_row_numbers
+from quirefold.common import materialize, with_row_numbers
 from quirefold.functions.lexer import MAX_WORD, WORD_CHARS
 from quirefold.operators import index
 
@@ -172,6 +172,7 @@ def rank(found: DataFrame, limit: int = 0) -> DataFrame:
     if limit > 0:
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    found = materialize(found, "found")  # the range sort goes through its input twice, the first time for a sample
     rows = with_row_numbers(found, "ranked", F.col("query_id"), F.desc("score"), F.col("doc_id"), column="_g")
     first = rows.groupBy("query_id").agg(F.min("_g").alias("_first"))
     return rows.join(first, "query_id").select(*found.columns, (F.col("_g") - F.col("_first") + 1).cast("int").alias("rank"))

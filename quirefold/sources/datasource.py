@@ -1,6 +1,7 @@
-"""The data source "chm": tables of help archives, one partition per file.
+"""The data source "chm": tables of help archives, a file or some small ones in a partition.
 
-Options: path (a file, a folder or a pattern) and what: archives, units, objects, topics or fts. Filters on the
+Options: path (a file, a folder or a pattern), what: archives, units, objects, topics or fts, and only: without_index leaves
+out the archives that have a word index of their own, of which then no object is decoded. Filters on the
 path of a unit and on its flags are taken by the source, so that objects that aren't asked for are not decoded, and
 so are those on the word of a posting, for which the tree of words is gone down.
 """
@@ -26,14 +27,18 @@ SCHEMAS = {
 }
 
 
+#: Bytes of files in a row up to which they share a partition; a larger file has one to itself.
+PARTITION_BYTES = 4 << 20
+
+
 class FilePartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, paths: list[str]):
+        super().__init__(paths)
 
 
 class ChmReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.what = options["path"], options.get("what", "units")
+        self.path, self.what, self.without_index = options["path"], options.get("what", "units"), options.get("only") == "without_index"
         self.tests: list[tuple[str, str, tuple]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -54,7 +59,14 @@ class ChmReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         path = self.path
         files = sorted(glob.glob(os.path.join(path, "**", "*.[cC][hH][mM]"), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path))
-        return [FilePartition(f) for f in files]
+        groups, room = [], 0
+        for f in files:
+            room -= (size := os.path.getsize(f))
+            if room < 0 or not groups:
+                groups.append([])
+                room = PARTITION_BYTES - size
+            groups[-1].append(f)
+        return [FilePartition(g) for g in groups]
 
     def _wanted(self, path: str, flags: int) -> bool:
         have = {"path": path, "path_key": path.lower(), "flags": flags}
@@ -72,8 +84,13 @@ class ChmReader(DataSourceReader):
                     yield row
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        name = os.path.abspath(partition.value)
+        for path in partition.value:
+            yield from self._rows(os.path.abspath(path))
+
+    def _rows(self, name: str) -> Iterator[tuple]:
         with Archive(name) as a:
+            if self.without_index and a.searchable:
+                return
             if self.what == "archives":
                 yield name, name, a.title, a.home, a.topics_file, a.index_file, a.generator, a.lcid, a.lang_id, a.encoding, a.searchable
             elif self.what == "units":
@@ -111,9 +128,9 @@ class ChmDataSource(DataSource):
         return ChmReader(self.options)
 
 
-def read_chm(spark: SparkSession, path: str, what: str = "units") -> DataFrame:
+def read_chm(spark: SparkSession, path: str, what: str = "units", only: str = "") -> DataFrame:
     """A table of the archives at path, which the executors must be able to open. Filters stay with the reader, so a table is for one set of them: open another for a query that unites or joins differently filtered parts."""
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ChmDataSource)
-    return spark.read.format("chm").option("what", what).load(path)
+    return spark.read.format("chm").option("what", what).option("only", only).load(path)
