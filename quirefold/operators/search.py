@@ -119,7 +119,8 @@ def match_texts(docs: DataFrame, queries: Iterable[tuple[int, str]], text: str =
 
         return F.size(F.filter("at", here))
 
-    found = docs.select("doc_id", lexer.words(F.col(text), stop_words).alias("w")).select("doc_id", "w", _places(F.col("w"), firsts, starts).alias("at")).filter(F.size("at") > 0)
+    # no filter on the places: it would be pushed below the words, which were then made twice; texts without any have no scores
+    found = docs.select("doc_id", lexer.words(F.col(text), stop_words).alias("w")).select("doc_id", "w", _places(F.col("w"), firsts, starts).alias("at"))
     found = found.select("doc_id", F.array(*map(count, groups)).alias("n"))
     number = {g: i for i, g in enumerate(groups)}
 
